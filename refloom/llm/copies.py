@@ -131,16 +131,16 @@ class CopyLedger:
 def ledger_of(entries: DataFrame, batches: int = 2) -> tuple[DataFrame, CopyLedger]:
     """Keys of all entries and the ledger after all batches.
 
-    Entries come in ``batches`` deliveries of whole years of arrival, oldest
-    first (rows without a time in the first). An id counts once, by its first
-    delivery.
+    Entries come in ``batches`` deliveries, by the calendar month of arrival
+    (rows without a time in the first). An id counts once, by its first
+    delivery; the order of the batches does not change the ledger.
     """
     first = entries.groupBy("entry_id").agg(F.min("loaded_at").alias("loaded_at")) if "loaded_at" in entries.columns else None
     once = entries.drop("loaded_at").dropDuplicates(["entry_id"])
     if first is not None:
         once = once.join(first, "entry_id")
     keys = cut(keyed(once))
-    part = F.coalesce(F.pmod(F.year("seen_at"), F.lit(batches)), F.lit(0))
+    part = F.coalesce(F.pmod(F.month("seen_at"), F.lit(batches)), F.lit(0))
     ledger = CopyLedger()
     for i in range(batches):
         ledger = ledger.update(keys.where(part == i))
