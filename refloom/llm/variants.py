@@ -19,7 +19,7 @@ SALTS = 12
 SHORT_FORMS = {
     "alexander": "alex sascha sasha xander sandy", "aleksandra": "ola alex sascha sasha", "andreas": "andi andy", "anthony": "tony", "bartholomew": "bart barty", "benjamin": "ben benny benni",
     "charles": "charlie chuck", "dmitri": "dima mitja mitya", "edward": "ed eddie ted teddy ned", "elizabeth": "beth liz lizzie betty eliza lisa", "francisco": "paco pancho kiko",
-    "friedrich": "fritz fred friedel", "gabriele": "gabi gaby", "giuseppe": "beppe peppe pino peppino", "guadalupe": "lupe lupita", "heinrich": "heinz heini hein", "ignacio": "nacho inaki",
+    "friedrich": "fritz fred friedel", "gabriele": "gabi gaby", "giuseppe": "beppe peppe pino peppino", "guadalupe": "lupe lupita", "heinrich": "heinz heini hein heiner", "ignacio": "nacho inaki",
     "jennifer": "jenny jen jenni", "johannes": "hannes hans jo", "josef": "jupp sepp jo", "katarzyna": "kasia", "katharina": "kathi kate katja kathe trine", "konstantin": "kostja kostya",
     "magdalena": "magda lena leni", "margaret": "maggie peggy meg greta madge", "matthias": "matze hias matti", "michael": "micha mike michi mick", "nikolaus": "klaus niko niklas nik",
     "patricia": "trish pat patty tricia", "richard": "dick rick rich richie", "robert": "bob rob bobby robbie", "samuel": "sam sammy", "susanne": "sanne susi suse", "tadeusz": "tadek tad",
@@ -49,7 +49,7 @@ def fold(text: str) -> str:
 
 def tokens(folded: str) -> list[str]:
     """Words of a folded name; apostrophes belong to the word, hyphens part words."""
-    return re.findall(r"[^\W_]+", re.sub(r"['’‘`]", "", folded.replace("arb.-gr", "arbgr")))
+    return re.findall(r"[^\W_]+", re.sub(r"['’‘`]", "", re.sub(r"\barb\.?-gr\b", "arbgr", folded)))
 
 
 def bound(length: int) -> int:
@@ -224,8 +224,11 @@ def org_fits(name: str, registered: str) -> bool:
     kinds, have, initials = organisation(registered)
     ws = tokens(fold(name))
     place = tokens(fold(registered))[-1] if not re.search(r"university|society", fold(registered)) else tokens(fold(registered))[0]
-    if len(ws) == 2 and initials in (ws[0], ws[1]) and word_fits(ws[0] if ws[1] == initials else ws[1], place):
-        return True
+    if len(ws) == 2:
+        slip = 1 if len(initials) > 4 else 0
+        for a, b in (ws, ws[::-1]):
+            if distance(a, initials, slip) <= slip and word_fits(b, place):
+                return True
     near = {KINDS.get(w) or next((KINDS[k] for k in KINDS if len(k) > 6 and distance(w, k, 2) <= min(2, bound(len(w)))), "") for w in ws} - {""}
     if kinds and near and not kinds & near or kinds and not near:
         return False
