@@ -56,7 +56,8 @@ def learn(words: DataFrame, word: str = "word", weight: str = "n") -> Bigrams:
             for w, n in zip(b["w"], b["n"], strict=True):
                 for g in grams(w):
                     c[g] += n
-        yield pd.DataFrame({"g": list(c.keys()), "n": [float(x) for x in c.values()]})
+        if c:
+            yield pd.DataFrame({"g": list(c.keys()), "n": [float(x) for x in c.values()]})
 
     got = words.select(F.col(word).alias("w"), F.col(weight).cast("double").alias("n")).mapInPandas(run, "g string, n double")
     return Bigrams({r["g"]: r["n"] for r in got.groupBy("g").agg(F.sum("n").alias("n")).collect()})

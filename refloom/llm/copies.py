@@ -86,6 +86,8 @@ def keyed(entries: DataFrame, ident: str = "entry_id", when: str = "loaded_at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             keys = []
             for who, raw, pages, *parts in zip(b["ident"], b["raw_text"], b["pages"], *[b[p] for p in PARTS], strict=True):
                 form = canonical(raw, parts, pages)

@@ -100,7 +100,8 @@ def garbled_table(vocab: DataFrame) -> DataFrame:
                     wide_chain = chain.startswith("utf-8") or LOST in g
                     if held.issuperset(g) and (wide_chain and (not unit or LOST in g or len(g) > 1) or not unit and len(g) >= SHORT):
                         rows.append((g, bool(unit), w, chain, int(n)))
-            yield pd.DataFrame(rows, columns=["form", "unit", "original", "chain", "n"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["form", "unit", "original", "chain", "n"])
 
     return spread(vocab).mapInPandas(run, "form string, unit boolean, original string, chain string, n bigint")
 
@@ -108,13 +109,17 @@ def garbled_table(vocab: DataFrame) -> DataFrame:
 def verified(hits: DataFrame, model: Bigrams) -> DataFrame:
     """Keep pairs in which the original reads better than the form, and the best original of each form.
 
-    Reading better: a higher mean log-probability of its characters under the
-    bigrams of the whole corpus, and at least as many documents.
+    Reading better: at least as many documents, and for a form no longer than
+    the original (a byte read as another byte, so that the way back garbles
+    too) a higher mean log-probability of its characters under the bigrams of
+    the whole corpus.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gain = [model.mean(o) - model.mean(f) if LOST not in f else 1.0 for o, f in zip(b["original"], b["form"], strict=True)]
+            if not len(b):
+                continue
+            gain = [model.mean(o) - model.mean(f) if LOST not in f and len(f) <= len(o) else 1.0 for o, f in zip(b["original"], b["form"], strict=True)]
             yield b.assign(gain=gain)
 
     scored = hits.mapInPandas(run, "form string, unit boolean, original string, chain string, n bigint, m bigint, gain double")
@@ -174,6 +179,8 @@ def restored(documents: DataFrame) -> DataFrame:
 
         cut_at = re.compile(f"({BREAK})")
         for b in batches:
+            if not len(b):
+                continue
             done = []
             for text, swap in zip(b["text"], b["swap"], strict=True):
                 m = json.loads(swap) if swap else {}

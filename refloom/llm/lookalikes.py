@@ -182,6 +182,8 @@ def canonical(entries: DataFrame, fields: tuple[str, ...] = ("title", "authors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             new = [one_form(v, model) for v in b["value"]]
             yield pd.DataFrame({"ident": b["ident"], "field": b["field"], "value": new, "changed": [a != o for a, o in zip(new, b["value"], strict=True)]})
 

@@ -254,6 +254,8 @@ def signatures(rows: DataFrame, ident: str, title: str, authors: str, year: str)
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             p = [prepared(t, a, y) for t, a, y in zip(b["t"], b["a"], b["y"], strict=True)]
             yield pd.DataFrame({"ident": b["ident"], "title": [x[0] for x in p], "names": [x[1] for x in p], "year": [x[2] for x in p]})
 
@@ -263,7 +265,8 @@ def signatures(rows: DataFrame, ident: str, title: str, authors: str, year: str)
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(s, k) for s, t, n, y in zip(b["sig"], b["title"], b["names"], b["year"], strict=True) for k in block_keys(t, n, int(y), wide)]
-            yield pd.DataFrame(rows, columns=["sig", "block"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["sig", "block"])
 
     distinct = ready.select("sig", "title", "names", "year").dropDuplicates(["sig"])
     return ready, distinct.mapInPandas(block, "sig bigint, block bigint")
@@ -284,6 +287,8 @@ def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             f = [features(*x) for x in zip(b["t1"], b["n1"], b["y1"], b["t2"], b["n2"], b["y2"], strict=True)]
             yield pd.DataFrame({"l": b["l"], "r": b["r"], "f": f, "label": [weak_label(x) for x in f]})
 

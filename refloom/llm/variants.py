@@ -263,7 +263,9 @@ def links(name_rows: DataFrame, registry: DataFrame) -> DataFrame:
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(v, w, int(n)) for v, n in zip(b["value"], b["uses"], strict=True) for w in set(tokens(fold(v)))], columns=["value", "word", "uses"])
+            rows = [(v, w, int(n)) for v, n in zip(b["value"], b["uses"], strict=True) for w in set(tokens(fold(v)))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["value", "word", "uses"])
 
     words = cut(distinct.mapInPandas(cut_up, "value string, word string, uses bigint"))
 
@@ -277,7 +279,8 @@ def links(name_rows: DataFrame, registry: DataFrame) -> DataFrame:
                     ks = [w for w in organisation(n)[1]] if n else []
                 for a in {x for w in ks for x in ((w, digraphs(w)) if k == "person" else (w, w + "er"))}:
                     rows.append((i, k, n, a))
-            yield pd.DataFrame(rows, columns=["entity_id", "kind", "name", "known"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["entity_id", "kind", "name", "known"])
 
     known = registry.select("entity_id", "kind", "name").mapInPandas(anchors, "entity_id bigint, kind string, name string, known string")
     counts = words.groupBy("word").agg(F.sum("uses").alias("uses"))
@@ -291,7 +294,8 @@ def links(name_rows: DataFrame, registry: DataFrame) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [person_fits(v, n, set(r)) if k == "person" else org_fits(v, n) for v, k, n, r in zip(b["value"], b["kind"], b["name"], b["allowed"], strict=True)]
-            yield b.loc[ok, ["value", "entity_id"]]
+            if any(ok):
+                yield b.loc[ok, ["value", "entity_id"]]
 
     return pairs.select("value", "entity_id", "kind", "name", "allowed").mapInPandas(check, "value string, entity_id bigint")
 
