@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> int:
@@ -37,7 +38,7 @@ def token_set(a: str, b: str) -> float:
     return max(r, 1 - (g + len(x)) / (n + lx), 1 - (g + len(y)) / (n + ly)) if n else r
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two normal titles, in Arrow batches."""
     return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -39,7 +39,7 @@ def umlauts_out(c: Column) -> Column:
 def title_words(c: Column) -> Column:
     """Words of a title as similarity sees them, in order."""
     t = F.regexp_replace(umlauts_out(c), r"\\[a-zA-Z]+\{([^}]*)\}", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"[{}]", ""), r"(?U)[^\w\s]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[{}]", ""), r"(?U)[^\p{L}\p{N}_\s]", " ")
     return F.filter(F.split(t, r"(?U)\s+"), lambda w: (w != "") & ~w.isin(TITLE_STOP))
 
 
@@ -49,7 +49,7 @@ def normal_title(c: Column) -> Column:
 
 def cache_form(c: Column) -> Column:
     """Lower case, punctuation removed, white space collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+", " "))
 
 
 def cache_key(title: Column, authors: Column) -> Column:
@@ -95,7 +95,7 @@ def author_surnames(c: Column) -> Column:
     parts = F.transform(F.split(c, r"(?iu);|\band\b"), lambda p: umlauts_out(strip(p)))
     parts = F.filter(parts, lambda p: ~p.rlike(r"^et\s+al\.?$"))
     last = F.transform(parts, lambda p: F.when(F.contains(p, F.lit(",")), F.substring_index(p, ",", 1)).otherwise(F.element_at(F.split(p, r"(?U)\s+"), -1)))
-    return F.filter(F.transform(last, lambda p: F.regexp_replace(p, r"(?U)[^\w]", "")), lambda p: F.length(p) > 2)
+    return F.filter(F.transform(last, lambda p: F.regexp_replace(p, r"[^\p{L}\p{N}_]", "")), lambda p: F.length(p) > 2)
 
 
 def author_overlap(cited: Column, correct: Column) -> Column:

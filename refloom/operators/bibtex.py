@@ -32,7 +32,8 @@ def records(files: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(d, n, m[2], m[1].lower(), fields_of(m[3])) for d, t in zip(b["doc_id"], b["t"], strict=True) for n, m in enumerate(RECORD.finditer(t or ""), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "key", "entry_type", "fields"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "ord", "key", "entry_type", "fields"])
 
     return files.select("doc_id", F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, ord int, key string, entry_type string, fields map<string,string>")
 

@@ -333,19 +333,22 @@ def split_column(fields: DataFrame, column: str = "value", rounds: int = ROUNDS)
                 for k in evidence(f, lexicon_of(known)):
                     k = spelled(k)
                     seen[k] = seen.get(k, 0) + 1
-            yield pd.DataFrame({"key": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"key": list(seen), "n": list(seen.values())})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, k) for i, f in zip(b["fid"], b["f"], strict=True) for k in needed(f)]
-            yield pd.DataFrame(rows, columns=["fid", "key"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["fid", "key"])
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for f, known in zip(b["f"], b["known"], strict=True):
                 rows += [(f, i, v) for i, (v, _) in enumerate(segment(f, lexicon_of(known)), 1)]
-            yield pd.DataFrame(rows, columns=[column, "pos", "part"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[column, "pos", "part"])
 
     questions = cut(distinct.mapInPandas(ask, "fid bigint, key string"))
     state = distinct
