@@ -229,7 +229,7 @@ def cost(parts: list[Atom], lex: Lexicon) -> float:
             return max(0.3, 3.0 - 0.4 * math.log1p(n)) if n > 1 else 4.0 if lex.known else 3.0
         if set(k) == {"W"} and lex.of_organisation(parts[0].text):
             return 5.0
-        return max(0.5, c - 0.1 * math.log1p(n)) if c < 3 else c
+        return c
     kinds = [types(a.text) for a in parts]
     text = "".join(a.text if i == 0 else (", " if a.sep == "," else " & ") + a.text for i, a in enumerate(parts))
     n = lex.value(text)
@@ -238,7 +238,7 @@ def cost(parts: list[Atom], lex: Lexicon) -> float:
         if c < 12:
             words = [w for w, k in zip(parts[1].text.split(), kinds[1], strict=False) if k == "W"]
             doubt = 1.5 * (1 - min((lex.given(w) for w in words), default=1.0))
-            return max(0.5, c + doubt - 0.1 * math.log1p(n))
+            return c + doubt
     if any("F" in k for k in kinds) or n > 3:
         return max(0.3, 3.0 - 0.4 * math.log1p(n)) if n > 1 else 6.0 + 1.5 * (len(parts) - 2)
     return 14.0
@@ -301,15 +301,23 @@ def needed(field: str) -> list[str]:
     if len(a) < 2 or all(x.hard or x.fixed for x in a[1:]) and all(x.fixed or x.hard for x in a):
         return []
     keys = set()
+    # of each atom: F if it has a word of organisations, W if it has full words only, else -
+    kinds = "".join("F" if "F" in k else "W" if set(k) == {"W"} else "-" for k in (types(x.text) for x in a))
+    organisations = "F" in kinds
     for i in range(len(a)):
         text = ""
         for j in range(i, min(len(a), i + REACH)):
             if j > i and (a[j].hard or a[j].fixed or a[i].fixed):
                 break
             text = a[j].text if j == i else text + (", " if a[j].sep == "," else " & ") + a[j].text
-            keys.add("v:" + folded(text))
-        for w in a[i].text.casefold().split():
-            keys |= {"g:" + w, "s:" + w, "o:" + w}
+            # the frequency of a run without words of organisations decides only where it is not one of persons
+            if "F" in kinds[i : j + 1] or (j > i and any(x.sep == "&" for x in a[i + 1 : j + 1])):
+                keys.add("v:" + folded(text))
+        if kinds[i] == "W" and not a[i].fixed:
+            if a[i].sep == "," and i:
+                keys |= {r + w for w in a[i].text.casefold().split() for r in ("g:", "s:")}
+            if organisations:
+                keys |= {r + w for w in a[i].text.casefold().split() for r in ("o:", "g:", "s:")}
     return sorted(keys)
 
 
