@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,3 +43,38 @@ def token_set(a: str, b: str) -> float:
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two normal titles, in Arrow batches."""
     return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def letters(title: str) -> tuple[np.ndarray, int]:
+    """Counts of a title's letters (of its distinct words, in 64 classes), and the length of these words joined."""
+    joined = " ".join(set((title or "").split()))
+    points = np.frombuffer(joined.replace(" ", "").encode("utf-32-le", "replace"), np.uint32)
+    return np.bincount(points & 63, minlength=64).astype(np.int16), len(joined)
+
+
+def may_reach(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """Whether each pair's ``token_set`` can reach the threshold, judged by letter counts; never false where it does.
+
+    Letters that one title has more of than the other must be in its unshared
+    words, so their number bounds each of the three ratios from above.
+    """
+    seen = {t: letters(t) for t in {*a, *b}}
+    ha, hb = np.array([seen[t][0] for t in a]), np.array([seen[t][0] for t in b])
+    la, lb = np.array([seen[t][1] for t in a]), np.array([seen[t][1] for t in b])
+    over, under = np.maximum(ha - hb, 0).sum(axis=1), np.maximum(hb - ha, 0).sum(axis=1)
+    slack = 1 - threshold + 1e-9
+    part = lambda d, n: (d == 0) | (1 + d <= slack * (2 * n - 1 - d))
+    return part(over, la) | part(under, lb) | (over + under <= slack * (la + lb))
+
+
+def similar_titles(threshold: float):
+    """Like ``title_similarity``, but 0 for pairs that cannot reach the threshold."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        x, y = a.tolist(), b.tolist()
+        return pd.Series([token_set(p, q) if m else 0.0 for p, q, m in zip(x, y, may_reach(x, y, threshold), strict=True)], dtype="float64")
+
+    return similarity

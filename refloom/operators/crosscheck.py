@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.similarity import title_similarity
+from refloom.functions.similarity import similar_titles
 from refloom.functions.text import blank, normal_title, strip, umlauts_out
 
 
@@ -48,7 +48,7 @@ def duplicate_pairs(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     own = ranked.select("doc_id", "t", F.explode(marks(filed)).alias("m"))
     every = ranked.select("doc_id", F.col("t").alias("u"), F.explode(marks(F.transform("ws", lambda x: x["w"]))).alias("m"))
     pairs = own.join(every, ["doc_id", "m"]).where("t != u").select("doc_id", F.least("t", "u").alias("title_a"), F.greatest("t", "u").alias("title_b")).distinct()
-    return pairs.withColumn("similarity", title_similarity("title_a", "title_b")).where(F.col("similarity") >= threshold)
+    return pairs.withColumn("similarity", similar_titles(threshold)("title_a", "title_b")).where(F.col("similarity") >= threshold)
 
 
 def duplicate_classes(entries: DataFrame) -> DataFrame:
@@ -57,6 +57,20 @@ def duplicate_classes(entries: DataFrame) -> DataFrame:
     return t.groupBy("doc_id", "title").agg(F.count("*").alias("n_entries")).where("n_entries > 1")
 
 
+def duplicate_counts(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``doc_id, n_duplicates``: pairs of keys of a paper whose titles are equal or alike.
+
+    Counted by classes of equal normal titles: the pairs inside a class, and
+    for each pair of alike classes the product of their sizes.
+    """
+    u = unique_entries(entries.select("doc_id", "key", "ord", "title"))
+    n = u.select("doc_id", normal_title(F.col("title")).alias("t")).where("t != ''").groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    inside = n.where("n > 1").select("doc_id", F.expr("n * (n - 1) div 2").alias("p"))
+    across = duplicate_pairs(u, threshold).join(n.select("doc_id", F.col("t").alias("title_a"), F.col("n").alias("na")), ["doc_id", "title_a"])
+    across = across.join(n.select("doc_id", F.col("t").alias("title_b"), F.col("n").alias("nb")), ["doc_id", "title_b"]).select("doc_id", (F.col("na") * F.col("nb")).alias("p"))
+    return inside.unionByName(across).groupBy("doc_id").agg(F.sum("p").alias("n_duplicates"))
+
+
 def self_citations(docs: DataFrame, entries: DataFrame, text: str = "body") -> DataFrame:
     """``doc_id, key, matched_author``: entries with a name among the capitalised words of the first 2000 characters (as the rule defines it)."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.substring(F.col(text), 1, 2000), F.lit(r"(?U)\b([A-ZÄÖÜ][a-zäöüß]{3,})\b"), F.lit(1)), umlauts_out))

@@ -18,7 +18,7 @@ def paper_counts(citations: DataFrame, entries: DataFrame, verdicts: DataFrame |
     x = crosscheck.cross_check(citations, entries).groupBy("doc_id").agg(*[F.count_if(F.col("class") == c).alias(f"n_{c}") for c in ("missing", "orphan", "ok")])
     i = validate.issues(entries, this_year)
     e = i.groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.count_if(F.size("issues") > 0).alias("n_incomplete"), F.count_if(F.exists("issues", lambda t: F.contains(t, F.lit("key")))).alias("n_key_issues"))
-    d = crosscheck.duplicate_classes(entries).groupBy("doc_id").agg(F.sum(F.col("n_entries") - 1).alias("n_duplicates"))
+    d = crosscheck.duplicate_counts(entries)
     out = x.join(e, "doc_id", "full_outer").join(d, "doc_id", "left")
     out = out.join(verdict.verdict_counts(verdicts, "doc_id"), "doc_id", "left") if verdicts is not None else out.withColumn("n_fake", F.lit(0))
     if docs is not None:

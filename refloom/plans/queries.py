@@ -40,7 +40,8 @@ def crossed(s: SparkSession, d: str) -> DataFrame:
 
 
 def counts(s: SparkSession, d: str) -> DataFrame:
-    return audit.paper_counts(table(s, d, "citations"), bib(s, d), this_year=YEAR)
+    docs = table(s, d, "documents").select("doc_id", sections.clean_latex(F.col("text")).alias("body"))
+    return audit.paper_counts(table(s, d, "citations"), bib(s, d), screened(s, d), docs, this_year=YEAR)
 
 
 def keyed_results(s: SparkSession, d: str) -> DataFrame:

@@ -108,6 +108,31 @@ def test_duplicates_against_brute_force(spark):
     assert len(got) >= 0.97 * len(want)
 
 
+@given(st.lists(st.text("abé ", max_size=16), min_size=2, max_size=8), st.sampled_from([0.5, 0.85, 0.97]))
+def test_letter_counts_lose_no_pair(titles, threshold):
+    a, b = map(list, zip(*itertools.product(titles, titles), strict=True))
+    assert all(m for x, y, m in zip(a, b, similarity.may_reach(a, b, threshold), strict=True) if similarity.token_set(x, y) >= threshold)
+
+
+def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
+    from refloom.plans import queries
+
+    spark.createDataFrame([(1, "A")], "doc_id long, key string").write.parquet(f"{tmp_path}/citations.parquet")
+    cols = "entry_id long, " + BIB
+    names, titles = "Meier, A.; Bell, C.", ["Slow rivers of the north", "Slow rivers of the north", "Slow river of the north", "Archives"]
+    rows = [(i, 1, i, k, "misc", names, t, None, None, None, None, None, "2010", None) for i, (k, t) in enumerate(zip("ABCD", titles, strict=True))]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/bib_entries.parquet")
+    v = [(i, 1, k, "verified", 0.9, titles["ABCD".index(k)], None, a) for i, (k, a) in enumerate([("A", "Novak, J.; Duarte, P."), ("B", names), ("D", "Novak, J.; Duarte, P.")])]
+    spark.createDataFrame(v, "verification_id long, doc_id long, key string, status string, confidence double, matched_title string, doi string, correct_authors string").write.parquet(f"{tmp_path}/verifications.parquet")
+    spark.createDataFrame([(1, "As Bell et al. say, e.g. here. % i.e. not here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = queries.queries()
+    r = q["paper_summary"](spark, str(tmp_path)).first()
+    assert (r["n_fake"], r["n_style"], r["n_duplicates"]) == (2, 2, 3)
+    # orphans 15, incomplete 0, fakes 20, duplicates 10, style 4
+    assert q["flagship_paper_score"](spark, str(tmp_path)).first()["score"] == 100 - 15 - 5 * min(r["n_incomplete"], 4) - 20 - 10 - 4
+    assert q["fallback_verdict"](spark, str(tmp_path)).first()["verdict"] != "PASS"
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
