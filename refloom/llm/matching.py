@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,9 @@ from refloom.operators.packed_values import Lexicon, segment
 from refloom.session import cut, spread
 
 SAMPLE = 40_000  # candidate pairs the classifier is fitted on; all pairs are scored
-PRIME = np.uint64((1 << 61) - 1)
-TITLE_BANDS, TITLE_ROWS = 12, 4
-BARE_BANDS, BARE_ROWS = 10, 5
-AUTHOR_BANDS, AUTHOR_ROWS = 5, 2
+TITLE_BANDS, TITLE_ROWS = 16, 3
+BARE_BANDS, BARE_ROWS = 16, 4
+AUTHOR_BANDS, AUTHOR_ROWS = 6, 2
 PARTS = TITLE_BANDS * TITLE_ROWS + BARE_BANDS * BARE_ROWS + AUTHOR_BANDS * AUTHOR_ROWS
 #: Fixed: words that titles lose or swap freely.
 STOP = frozenset("a an and of the in on for with to from by at und der die das des zur zum von mit fur fuer im auf le la les de des du et pour dans avec un une contre vers da do dos das em um uma com e na nas no nos para и в с на".split())
@@ -67,14 +67,15 @@ def prepared(title: str | None, authors: str | None, year: str | None) -> tuple[
 
 
 _rng = np.random.default_rng(20240517)
-_A = _rng.integers(1, 1 << 31, PARTS, dtype=np.uint64)
-_B = _rng.integers(0, 1 << 61, PARTS, dtype=np.uint64)
+# odd factors of 64 bits, so that products wrap many times and no two functions order the words alike
+_A = _rng.integers(0, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, PARTS, dtype=np.uint64)
 
 
 def minhashes(words: list[str]) -> np.ndarray:
     """One minimum for each of ``PARTS`` hash functions over the first four letters of the content words."""
     h = np.array([zlib.crc32(w[:4].encode("utf-8", "replace")) for w in words], np.uint64)
-    return ((h[:, None] * _A[None, :] + _B[None, :]) % PRIME).min(axis=0)
+    return (h[:, None] * _A[None, :] + _B[None, :]).min(axis=0)
 
 
 def key_of(*parts) -> int:
@@ -119,6 +120,7 @@ def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
     return list(set(out))
 
 
+@lru_cache(1 << 18)
 def same_word(a: str, b: str) -> bool:
     """Equal, misspelt, or one the shortened form of the other."""
     if a == b or digraphs(a) == digraphs(b):
@@ -285,10 +287,6 @@ def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
     ls = left.select(F.col("sig").alias("l"), F.col("title").alias("t1"), F.col("names").alias("n1"), F.col("year").alias("y1")).dropDuplicates(["l"])
     rs = right.select(F.col("sig").alias("r"), F.col("title").alias("t2"), F.col("names").alias("n2"), F.col("year").alias("y2")).dropDuplicates(["r"])
 
-    # what shares too few word beginnings would be turned down by the classifier at a hundred times the cost
-    stems = lambda t: F.array_distinct(F.transform(F.split(t, " "), lambda w: F.substring(w, 1, 4)))
-    near = F.size(F.array_intersect(stems("t1"), stems("t2"))) * 2 >= F.least(F.size(stems("t1")), F.size(stems("t2")))
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
@@ -296,7 +294,7 @@ def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
             f = [features(*x) for x in zip(b["t1"], b["n1"], b["y1"], b["t2"], b["n2"], b["y2"], strict=True)]
             yield pd.DataFrame({"l": b["l"], "r": b["r"], "f": f, "label": [weak_label(x) for x in f]})
 
-    scored = cut(pairs.join(ls, "l").join(rs, "r").where(near).mapInPandas(compare, "l bigint, r bigint, f array<double>, label int"))
+    scored = cut(pairs.join(ls, "l").join(rs, "r").mapInPandas(compare, "l bigint, r bigint, f array<double>, label int"))
     labelled = scored.where("label >= 0")
     half = SAMPLE // 2
     fit = [r for v in (0, 1) for r in labelled.where(f"label = {v}").orderBy(F.xxhash64("l", "r")).limit(half).collect()]

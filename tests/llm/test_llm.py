@@ -142,6 +142,22 @@ def test_matching(spark):
     assert matching.found(es.limit(0), cs).count() == 0
 
 
+def test_half_alike_titles_without_authors_meet():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    met = 0
+    for _ in range(400):
+        t = rng.sample(words, 6)
+        met += bool(set(matching.block_keys(" ".join(t), "meier", 1999, False)) & set(matching.block_keys(" ".join(t[:3]), "", 1999, True)))
+    assert met >= 0.8 * 400
+
+
+def test_misspelt_beginnings_are_scored(spark):
+    es = spark.createDataFrame([(1, "rivers archives basin", "Meier, A.; Bell, C.", "1999")], "entry_id long, title string, authors string, year string")
+    cs = spark.createDataFrame([(10, "ruvers acchives basin", "Meier, A.; Bell, C.", "published 1999")], "result_id long, matched_title string, correct_authors string, note string")
+    assert {tuple(r) for r in matching.found(es, cs).collect()} == {(1, 10)}
+
+
 def test_blocks_agree_across_processes():
     assert matching.key_of(4, 1, 7, (3, 5)) == hash((4, 1, 7, (3, 5)))
 
