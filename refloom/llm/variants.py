@@ -161,11 +161,12 @@ def given_fits(word: str, full: str) -> bool:
     return len(word) > 3 and any(distance(word, x, most if x == full else 1) <= (most if x == full else 1) for x in (full, *SHORT_FORMS.get(full, "").split()) if len(x) > 3)
 
 
-def person_fits(name: str, registered: str, allowed: set[str]) -> bool:
+def person_fits(name: str, registered: str, allowed: set[str], frequent: frozenset[str] | set[str] = frozenset()) -> bool:
     """Whether a written name can be the registered person, in any order of its words.
 
     One word (or run) must be the surname, misspelt only if that spelling is
-    rare beside the right one; all others must fit the given names in their
+    rare beside the right one (``allowed``), or if it is not (``frequent``) and
+    all given names stand there in full; all others must fit the given names in their
     order, particles aside. A middle name may be missing; one the person does
     not have excludes them.
     """
@@ -175,7 +176,9 @@ def person_fits(name: str, registered: str, allowed: set[str]) -> bool:
     n = len(p.surname)
     comma = len(tokens(f.partition(",")[0])) if "," in f else 0
     for i in range(len(words) - n + 1):
-        if not all(surname_fits(w, s, allowed) for w, s in zip(words[i : i + n], p.surname, strict=True)):
+        run = list(zip(words[i : i + n], p.surname, strict=True))
+        rare = all(surname_fits(w, s, allowed) for w, s in run)
+        if not rare and not all(surname_fits(w, s, allowed | frequent) for w, s in run):
             continue
         if comma and i + n > comma:
             continue  # the surname stands before the comma
@@ -188,6 +191,8 @@ def person_fits(name: str, registered: str, allowed: set[str]) -> bool:
         given = left + right
         if not given or len(given) > len(p.given) or len(rest) < 1:
             continue
+        if not rare and [digraphs(w) for w in given if len(w) > 1] != [digraphs(g) for g in p.given]:
+            continue
         if all(given_fits(w, g) for w, g in zip(given, p.given, strict=False)):
             return True
     return False
@@ -286,21 +291,24 @@ def links(name_rows: DataFrame, registry: DataFrame) -> DataFrame:
     counts = words.groupBy("word").agg(F.sum("uses").alias("uses"))
     near = trie_join(counts.select("word"), known.select("known"))
     right = counts.select(F.col("word").alias("known"), F.col("uses").alias("right_uses"))
-    # a misspelling is rare beside the spelling it stands for
-    near = near.join(counts, "word").join(right, "known", "left").select("word", "known", "d", (F.col("uses") <= F.greatest(F.lit(2), F.col("right_uses") * 0.12)).alias("rare"))
-    near = near.where("d = 0 OR rare").select("word", "known").distinct()
-    pairs = words.join(near, "word").join(known, "known").groupBy("value", "entity_id", "kind", "name").agg(F.collect_set("word").alias("allowed"))
+    # a misspelling is rare beside the spelling it stands for; a frequent one needs more evidence, see person_fits
+    near = near.join(counts, "word").join(right, "known", "left").select("word", "known", F.expr("d = 0 OR uses <= greatest(2, right_uses * 0.12)").alias("rare"))
+    near = near.groupBy("word", "known").agg(F.max("rare").alias("rare"))
+    each = lambda rare: F.collect_set(F.when(F.col("rare") == rare, F.col("word")))
+    pairs = words.join(near, "word").join(known, "known").groupBy("value", "entity_id", "kind", "name").agg(each(True).alias("allowed"), each(False).alias("frequent"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [person_fits(v, n, set(r)) if k == "person" else org_fits(v, n) for v, k, n, r in zip(b["value"], b["kind"], b["name"], b["allowed"], strict=True)]
+            ok = [person_fits(v, n, set(r), set(q)) if k == "person" else org_fits(v, n) for v, k, n, r, q in zip(b["value"], b["kind"], b["name"], b["allowed"], b["frequent"], strict=True)]
             if any(ok):
                 yield b.loc[ok, ["value", "entity_id"]]
 
-    return pairs.select("value", "entity_id", "kind", "name", "allowed").mapInPandas(check, "value string, entity_id bigint")
+    return pairs.select("value", "entity_id", "kind", "name", "allowed", "frequent").mapInPandas(check, "value string, entity_id bigint")
 
 
 def found(bib_entries: DataFrame, verifications: DataFrame, registry: DataFrame) -> DataFrame:
     """``src, row_id, entity_id``: each record and each registered entity named in its author list."""
     named = cut(names(bib_entries, verifications).select("src", "row_id", "value"))
-    return named.join(links(named, registry), "value").select("src", "row_id", "entity_id").distinct()
+    # spellings are counted over distinct author lists, so that a much-cited one counts once
+    lists = named.groupBy("src", "row_id").agg(F.sort_array(F.collect_set("value")).alias("values")).select("values").distinct()
+    return named.join(links(lists.select(F.explode("values").alias("value")), registry), "value").select("src", "row_id", "entity_id").distinct()

@@ -133,6 +133,13 @@ def test_links_of_records(spark):
     assert {tuple(x) for x in variants.found(b, v, r).collect()} == {("bib_entries", 1, 50), ("verifications", 7, 50)}
 
 
+def test_frequent_misspelling_links_with_full_given_names(spark):
+    b = spark.createDataFrame([(i, f"Kumozarenann, Josef; Bell{'abcdefgh'[i]}, C.") for i in range(8)] + [(9, "Kumozarenann, Peter; Bell, C.")], "entry_id long, authors string")
+    v = spark.createDataFrame([], "verification_id long, correct_authors string")
+    r = spark.createDataFrame([(50, "person", "Kümozaremann, Josef")], "entity_id long, kind string, name string")
+    assert {tuple(x) for x in variants.found(b, v, r).collect()} == {("bib_entries", i, 50) for i in range(8)}
+
+
 def test_matching(spark):
     e = [(1, "Robust rivers and slow archives: tracing drift", "Meier, A.; Bell, C.", "1999"), (2, "Robust rivers and slow archives: tracing drift III", "Meier, A.; Bell, C.", "2003"), (3, "Editorial", "Novak, J.", "2001"), (4, None, "X, Y.", "2001"), (5, "", None, None)]
     c = [(10, "Robust rivers & slow archives", "Meier, Anna", "published 1999"), (11, "Editorial", "Duarte, P.", "published 2001"), (12, "editorial", "Novak, Jo", None), (13, None, None, None)]
