@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
-    """A session with the settings that every plan of this package assumes."""
+def build_session(master: str = "local[*]", checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings that every plan of this package assumes.
+
+    ``checkpoint_dir`` is a folder that all executors share; it is needed on a
+    cluster unless ``spark.checkpoint.dir`` is set there.
+    """
     b = (
         SparkSession.builder.master(master)
         .appName("refloom")
@@ -18,8 +21,11 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
@@ -30,49 +36,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(df: DataFrame, waves: int = 2) -> int:
+    """Partitions for a stage bound by CPU: the session's shuffle partitions, but at least ``waves`` for each task slot."""
+    s = df.sparkSession
+    return max(int(s.conf.get("spark.sql.shuffle.partitions")), waves * s.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, waves: int = 2) -> DataFrame:
-    """Redistribute only if there are fewer partitions than task slots.
+    """Redistribute a plan in front of a Python stage, unless it is a scan with a split for each task slot.
 
-    Python stages are bound by CPU, so a table read in few splits would leave
-    executors idle; a table already in many splits keeps its partitioning and
-    pays no shuffle.
+    Python stages are bound by CPU, so a table read in few splits, or an
+    exchange that adaptive execution would coalesce by bytes, would leave
+    executors idle. Only the splits of a plan without an exchange are looked
+    at; asking a plan with one would run its shuffles.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    q = df._jdf.queryExecution()
+    if q.executedPlan().getClass().getSimpleName() != "AdaptiveSparkPlanExec" and q.toRdd().getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
-    return df.repartition(slots * waves)
+    return df.repartition(width(df, waves))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a folder of this machine only where the whole session runs on it."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "refloom-checkpoints")
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset
-    (tests, local runs) a folder of this machine is set once. The files
-    survive the loss of executors.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage; the files survive the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "refloom-checkpoints"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def records(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
-    """One row for each record id, the first delivered one.
+def records(df: DataFrame, key: str) -> DataFrame:
+    """One row for each record id, in partitions wide enough for a Python stage.
 
-    Re-delivered rows differ at most in ``order``; ``dropDuplicates`` keeps the
-    plan to one partial and one final aggregate on the id alone.
+    The rows are hashed by the id once; the aggregate that drops re-delivered
+    rows and the stage behind it use that one exchange. Of rows that differ
+    (they differ at most in their time of loading) any one is kept.
     """
-    return df.drop(order).dropDuplicates([key]) if order in df.columns else df.dropDuplicates([key])
-
-
-def chunks(it: Iterator, size: int) -> Iterator[list]:
-    """Lists of at most ``size`` elements."""
-    out: list = []
-    for x in it:
-        out.append(x)
-        if len(out) >= size:
-            yield out
-            out = []
-    if out:
-        yield out
+    return df.repartition(width(df), key).dropDuplicates([key])
+

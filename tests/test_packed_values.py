@@ -1,12 +1,13 @@
 """Splitting of fields that hold several values."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from refloom.operators import packed_values as P
 
 
-def split(s, known=None):
-    return [v for v, _ in P.segment(s, P.Lexicon(known))]
+def split(s, lex=P.EMPTY):
+    return [v for v, _ in P.segment(s, lex)]
 
 
 @pytest.mark.parametrize(
@@ -28,17 +29,30 @@ def test_cases(field, want):
     assert split(field) == want
 
 
-def test_learned_value_stays_whole():
-    v = "Zentrum für Wasser und Boden Ulm"
-    assert split(v, {"v:" + P.folded("Zentrum für Wasser & Boden Ulm"): 9.0}) == [v]
+def test_column_learns_organisations_in_no_list(spark):
+    # "Bruderschaft zum" and "Orden" stand in no list of this package
+    names = [f"Ber{a}{b}, {a.upper()}." for a in "aeiou" for b in "lmnrst"]
+    orgs = [f"Bruderschaft zum {x} und {y} {z}" for x in ("Hirsch", "Stern") for y in ("Mond", "Anker") for z in ("Ulm", "Hof")]
+    rows = [f'"{o}"; {n}; {m}' for i, o in enumerate(orgs) for n, m in zip(names[i::3], names[i + 1 :: 3])]
+    doubt = "Bera, K. and Bruderschaft zum Stern und Anker Ulm and Berel, E."
+    assert len(split(doubt)) == 4
+    df = spark.createDataFrame([(r,) for r in [*rows, doubt, doubt, None, ""]], "value string")
+    got = [r["part"] for r in P.split_column(df).where(F.col("value") == doubt).orderBy("pos").collect()]
+    assert got == ["Bera, K.", "Bruderschaft zum Stern und Anker Ulm", "Berel, E."]
 
 
-def test_column_learns_from_quoted_values(spark):
-    org = "Zentrum für Wasser und Boden Ulm"
-    rows = [(f'"{org}"; Meier, {c}.',) for c in "ABCDEFGH"] + [(org,), (None,), ("",)]
-    got = P.split_column(spark.createDataFrame(rows, "value string"))
-    assert [r["part"] for r in got.where(f"value = '{org}'").collect()] == [org]
-    assert got.count() == 8 * 2 + 1
+def test_value_of_many_atoms_stays_whole(spark):
+    org = "Amt for Seas, Rivers, Lakes, Ponds, Springs and Wells, Hof"
+    rows = [(f'"{org}"; Meier{i}, A.; "Amt for Seas and Lakes, Ulm"; "Amt for Springs, Wells and Ponds, Hof"; "Amt for Rivers, Hof"',) for i in range(12)] + [(f"Bell, C. and {org}",)]
+    got = {r["part"] for r in P.split_column(spark.createDataFrame(rows, "value string")).collect()}
+    assert org in got and "Bell, C." in got and "Lakes" not in got
+
+
+def test_hashed_cells_agree_with_the_engine(spark):
+    key = "für Wässer"
+    df = spark.createDataFrame([("w", key, 3.0)], "role string, key string, n double")
+    cells = {r["row"]: r["cell"] for r in P.sure_cells(df).where("kind = 'w'").collect()}
+    assert cells == {r: c for k, r, c in zip(*(P.batch_of({("p", key): 1.0}).column(i).to_pylist() for i in range(3)), strict=True) if k == "w"}
 
 
 def test_found_has_only_fields_of_two_or_more(spark):
@@ -57,3 +71,14 @@ def test_empty_tables(spark):
 def test_very_long_field():
     s = "; ".join(f"Meier{i}, A." for i in range(3000))
     assert len(split(s)) == 3000
+
+
+def test_rows_are_kept_with_other_columns(spark):
+    df = spark.createDataFrame([(1, "x", "A Bell; C Novak"), (1, "x", "A Bell; C Novak"), (2, None, None), (3, "y", " ")], "row_id long, parts_of string, value string")
+    got = sorted((r["row_id"], r["parts"]) for r in P.split_fields(df).collect())
+    assert got == [(1, ["A Bell", "C Novak"]), (1, ["A Bell", "C Novak"]), (3, [])]
+
+
+def test_soft_separated_field_of_any_length():
+    s = " and ".join(f"Meier{i}, A." for i in range(1500))
+    assert len(split(s)) == 1500
