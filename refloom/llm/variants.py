@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.llm.lookalikes import TO_LATIN, plain
-from refloom.operators.packed_values import PARTICLES, names
-from refloom.session import cut, spread
-
-SALTS = 12
-#: Fixed: short forms of given names, by their full form.
-SHORT_FORMS = {
-    "alexander": "alex sascha sasha xander sandy", "aleksandra": "ola alex sascha sasha", "andreas": "andi andy", "anthony": "tony", "bartholomew": "bart barty", "benjamin": "ben benny benni",
-    "charles": "charlie chuck", "dmitri": "dima mitja mitya", "edward": "ed eddie ted teddy ned", "elizabeth": "beth liz lizzie betty eliza lisa", "francisco": "paco pancho kiko",
-    "friedrich": "fritz fred friedel", "gabriele": "gabi gaby", "giuseppe": "beppe peppe pino peppino", "guadalupe": "lupe lupita", "heinrich": "heinz heini hein heiner", "ignacio": "nacho inaki",
-    "jennifer": "jenny jen jenni", "johannes": "hannes hans jo", "josef": "jupp sepp jo", "katarzyna": "kasia", "katharina": "kathi kate katja kathe trine", "konstantin": "kostja kostya",
-    "magdalena": "magda lena leni", "margaret": "maggie peggy meg greta madge", "matthias": "matze hias matti", "michael": "micha mike michi mick", "nikolaus": "klaus niko niklas nik",
-    "patricia": "trish pat patty tricia", "richard": "dick rick rich richie", "robert": "bob rob bobby robbie", "samuel": "sam sammy", "susanne": "sanne susi suse", "tadeusz": "tadek tad",
-    "theresia": "resi resl thea", "thomas": "tom tommy", "tomas": "tom", "ulrike": "ulli uli rike", "wilhelmina": "mina minna wilma helma", "william": "bill will billy willy", "yekaterina": "katja katya katia",
-    "yusuf": "joe", "mirjam": "miri", "amara": "mara", "wanda": "wandi", "sunniva": "sunni", "jorg": "jogi",
-}
-#: Fixed: words for kinds of organisations, and the kind.
-KINDS = {
-    "institut": "inst", "institute": "inst", "inst": "inst", "zentrum": "zent", "ztr": "zent", "centre": "cent", "center": "cent", "ctr": "cent", "university": "univ", "univ": "univ", "society": "soc", "soc": "soc",
-    "arbeitsgruppe": "arb", "ag": "arb", "arbgr": "arb",
-}
-NO_CONTENT = frozenset("fur fuer for of and und f u at the in der die das le la on".split())
+from refloom.operators.packed_values import PARTICLES, name_lists
+from refloom.session import cut, width
+
+SHARD = 20_000  # words of one length that one task looks up in a trie
+SLIPS = 0.04  # share of uses of a surname that are misspelt
 STROKES = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 ACCENT = re.compile(r"\{?\\([\"'`^~=.]|[uvHcdb](?=[\s{]))\s*\{?\\?([A-Za-z])\}?\}?")
 MACROS = {"\\aa": "å", "\\AA": "Å", "\\o": "ø", "\\O": "Ø", "\\l": "ł", "\\L": "Ł", "\\ss": "ß", "\\ae": "æ", "\\AE": "Æ"}
@@ -120,13 +105,17 @@ def trie_join(words: DataFrame, known: DataFrame) -> DataFrame:
     """``word, known, d``: all pairs of words within ``bound`` of the longer one's length.
 
     Known words are sharded by length into tries; a word visits the shards of
-    the lengths its bound allows. Each shard is salted, with its trie built in
-    each part, so that a length that a third of all words have is spread too.
+    the lengths its bound allows. A shard is salted by the number of words of
+    its length, with its trie built in each part, so that a length that a third
+    of all words have is spread over as many tasks as it needs.
     """
     reach = F.when(F.length("known") + 2 < 8, 1).otherwise(2)
     homes = known.where("length(known) > 0").distinct().withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("known") - reach), F.length("known") + reach)))
-    homes = homes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asks = words.where("length(word) > 0").withColumn("len", F.length("word")).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
+    asks = words.where("length(word) > 0").withColumn("len", F.length("word"))
+    # a row for each length
+    salts = asks.groupBy("len").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("salts"))
+    homes = homes.join(salts, "len").select("known", "len", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    asks = asks.join(salts, "len").select("word", "len", F.pmod(F.xxhash64("word"), F.col("salts")).cast("int").alias("salt"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list = []
@@ -149,19 +138,25 @@ class Person:
         self.given = tokens(g)
 
 
-def given_fits(word: str, full: str) -> bool:
-    """Whether a word can stand for a given name: itself, its initial, a short form, or a misspelling of one."""
+def given_fits(word: str, full: str, short: dict[str, set[str]] | None = None) -> bool:
+    """Whether a word can stand for a given name: itself, its initial, its beginning, a learned short form, or a misspelling of one of them."""
     if len(word) == 1:
         return full.startswith(word)
-    if word == full or word in SHORT_FORMS.get(full, "").split() or digraphs(word) == digraphs(full):
+    own = (short or {}).get(full, ())
+    if word == full or word in own or digraphs(word) == digraphs(full):
         return True
     if len(word) >= 4 and full.startswith(word) and len(word) < len(full) - 1:
         return True
     most = 1 if len(full) < 8 else 2
-    return len(word) > 3 and any(distance(word, x, most if x == full else 1) <= (most if x == full else 1) for x in (full, *SHORT_FORMS.get(full, "").split()) if len(x) > 3)
+    return len(word) > 3 and any(distance(word, x, most if x == full else 1) <= (most if x == full else 1) for x in (full, *own) if len(x) > 3)
+
+
+def shared(a: str, b: str) -> int:
+    """Length of the longest run of letters that two words share."""
+    return next((n for n in range(min(len(a), len(b)), 0, -1) if any(a[i : i + n] in b for i in range(len(a) - n + 1))), 0)
 
 
-def person_fits(name: str, registered: str, allowed: set[str], frequent: frozenset[str] | set[str] = frozenset()) -> bool:
+def person_fits(name: str, registered: str, allowed: set[str], frequent: frozenset[str] | set[str] = frozenset(), short: dict[str, set[str]] | None = None, any_given: list | None = None) -> bool:
     """Whether a written name can be the registered person, in any order of its words.
 
     One word (or run) must be the surname, misspelt only if that spelling is
@@ -187,13 +182,17 @@ def person_fits(name: str, registered: str, allowed: set[str], frequent: frozens
         left = [w for w in words[:i] if w not in PARTICLES]
         right = [w for w in words[i + n :] if w not in PARTICLES]
         if comma or not right:
-            left = [w for w in left if not (len(w) > 1 and registered_particle(w, registered) and not any(given_fits(w, g) for g in p.given))]
+            left = [w for w in left if not (len(w) > 1 and registered_particle(w, registered) and not any(given_fits(w, g, short) for g in p.given))]
         given = left + right
         if not given or len(given) > len(p.given) or len(rest) < 1:
             continue
         if not rare and [digraphs(w) for w in given if len(w) > 1] != [digraphs(g) for g in p.given]:
             continue
-        if all(given_fits(w, g) for w, g in zip(given, p.given, strict=False)):
+        if any_given is not None:
+            if rare and len(given[0]) > 1 and all(given_fits(w, g) for w, g in zip(given[1:], p.given[1:], strict=False)):
+                any_given.append(given[0])
+            continue
+        if all(given_fits(w, g, short) for w, g in zip(given, p.given, strict=False)):
             return True
     return False
 
@@ -211,42 +210,44 @@ def surname_fits(word: str, surname: str, allowed: set[str]) -> bool:
     return bool(b) and word in allowed and distance(word, surname, b) <= b
 
 
-def organisation(name: str) -> tuple[set[str], list[str], str]:
-    """Kinds, content words, and the initials of the capitalised words of an organisation's name."""
-    ws = tokens(fold(name))
-    kinds = {KINDS[w] for w in ws if w in KINDS}
-    initials = "".join(fold(w[0]) for w in re.findall(r"[^\W\d_]+", plain(name)) if w[0].isupper())
-    return kinds, [w for w in ws if w not in KINDS and w not in NO_CONTENT and len(w) > 1], initials
+def organisation(name: str) -> tuple[list[str], set[str], str]:
+    """Content words, small words, and the initials of the capitalised words of a registered organisation's name."""
+    own = re.findall(r"[^\W\d_]+", plain(name))
+    small = {t for w in own if w[0].islower() for t in tokens(fold(w))}
+    return [w for w in tokens(fold(name)) if w not in small], small, "".join(fold(w[0]) for w in own if w[0].isupper())
+
+
+def abbreviates(w: str, full: str) -> bool:
+    """Whether a short word stands for a longer one: the same first letter, and its letters in order ("ztr", "inst", "ag")."""
+    if not 1 < len(w) <= 5 or len(w) + 2 > len(full) or w[0] != full[0]:
+        return False
+    rest = iter(full)
+    return all(c in rest for c in w)
 
 
 def org_fits(name: str, registered: str) -> bool:
     """Whether a written name can be the registered organisation.
 
-    The kind must agree and each content word must have its partner
-    (misspelt, cut short with a dot, or a place with -er), in any order; or the name is the
-    acronym of the registered name followed by the place.
+    Each content word must have its partner (misspelt, abbreviated, or a place
+    with -er), in any order, and nothing but small words may be left; or the
+    name is the acronym of the registered name beside the place, its first or last word.
     """
-    kinds, have, initials = organisation(registered)
-    ws = tokens(fold(name))
-    place = tokens(fold(registered))[-1] if not re.search(r"university|society", fold(registered)) else tokens(fold(registered))[0]
+    have, small, initials = organisation(registered)
+    ws = tokens(fold(name).replace("arbgr", "arb gr"))
+    if not have:
+        return False
     if len(ws) == 2:
         slip = 1 if len(initials) > 4 else 0
         for a, b in (ws, ws[::-1]):
-            if distance(a, initials, slip) <= slip and word_fits(b, place):
+            if distance(a, initials, slip) <= slip and (word_fits(b, have[-1]) or word_fits(b, have[0])):
                 return True
-    near = {KINDS.get(w) or next((KINDS[k] for k in KINDS if len(k) > 6 and distance(w, k, 2) <= min(2, bound(len(w)))), "") for w in ws} - {""}
-    if kinds and near and not kinds & near or kinds and not near:
-        return False
-    left = [w for w in ws if w not in KINDS and w not in NO_CONTENT and len(w) > 1 and not any(len(k) > 6 and KINDS[k] in kinds and distance(w, k, 2) <= 2 for k in KINDS)]
-    open_ = list(have)
-    for w in left:
-        hit = next((h for h in open_ if word_fits(w, h)), None)
+    left = list(ws)
+    for h in have:
+        hit = next((w for w in left if w == h), None) or next((w for w in left if word_fits(w, h)), None) or next((w for w in left if abbreviates(w, h)), None)
         if hit is None:
-            if len(w) <= 4 and any(distance(w, x, 1) <= 1 for x in ("for", "and", "und", "fur", "the", "of", "fuer")):
-                continue
             return False
-        open_.remove(hit)
-    return not open_
+        left.remove(hit)
+    return all(len(w) <= 3 or digraphs(w) in {digraphs(x) for x in small} or len(w) <= 4 and any(distance(w, x, 1) <= 1 for x in small) for w in left)
 
 
 def word_fits(w: str, full: str) -> bool:
@@ -256,59 +257,113 @@ def word_fits(w: str, full: str) -> bool:
     return len(w) > 3 and min(distance(w, full, b), distance(w.removesuffix("er"), full, b)) <= b
 
 
+def short_forms(pairs: DataFrame) -> DataFrame:
+    """``given, short``: short forms of given names, learned from names with registered surnames.
+
+    A word that stands in place of a given name beside several surnames of
+    persons who bear it, and hardly beside other registered surnames, is a
+    short form of it: at least half of the registered surnames it is met with
+    must have a bearer of the name, and no other name may have far more of
+    them. One surname is enough if the two words share three letters in a row
+    (two, if the short form has no more than three). Where the word fits the
+    name of another bearer of the surname, it tells nothing of the first.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = set()
+            for v, n, r in zip(b["value"], b["name"], b["allowed"], strict=True):
+                p = Person(n)
+                seen: list[str] = []
+                if p.given:
+                    person_fits(v, n, set(r), any_given=seen)
+                rows |= {(p.given[0], w, " ".join(p.surname), shared(w, p.given[0]) >= (3 if len(w) > 3 else 2)) for w in seen}
+            if rows:
+                got = pd.DataFrame(list(rows), columns=["given", "short", "surname", "alike"])
+                yield got.assign(fits=[given_fits(w, g) for w, g in zip(got["short"], got["given"], strict=True)])
+
+    seen = pairs.where("kind = 'person'").mapInPandas(run, "given string, short string, surname string, alike boolean, fits boolean").distinct()
+    seen = seen.groupBy("surname", "short").agg(F.max("fits").alias("fits"), F.collect_set(F.struct("given", "alike")).alias("g")).where("NOT fits").select("surname", "short", F.inline("g"))
+    n = seen.groupBy("given", "short").agg(F.countDistinct("surname").alias("n"), F.first("alike").alias("alike"))
+    total = seen.groupBy("short").agg(F.countDistinct("surname").alias("total")).join(n.groupBy("short").agg(F.max("n").alias("most")), "short")
+    good = (F.col("n") >= 0.5 * F.col("total")) & (F.col("n") >= 0.75 * F.col("most")) & ((F.col("n") >= 2) | F.col("alike"))
+    return n.join(total, "short").where(good).select("given", "short")
+
+
 def links(name_rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """``value, entity_id`` for each distinct name and each entity it can stand for.
+    """``vid, entity_id`` for each distinct name (by its 64-bit hash) and each entity it can stand for.
 
     ``name_rows``: a column ``value``. Names are folded and cut into words; the
     trie join gives each word its registered neighbours; each (name, entity)
-    that shares a neighbour of the entity's anchor (surname, place) is checked
-    word by word. Null names and names without letters match nothing.
+    that shares a neighbour of the entity's anchor (a person's surname, the
+    rarest word of an organisation) is checked word by word. Null names and
+    names without letters match nothing.
     """
-    distinct = spread(name_rows.select("value").where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("uses")))
+    distinct = name_rows.select("value").where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("uses"))
+    distinct = distinct.repartition(width(distinct), "value")
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, w, int(n)) for v, n in zip(b["value"], b["uses"], strict=True) for w in set(tokens(fold(v)))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["value", "word", "uses"])
+            if len(b):
+                yield b.assign(words=[sorted(set(tokens(fold(v)))) for v in b["value"]])
 
-    words = cut(distinct.mapInPandas(cut_up, "value string, word string, uses bigint"))
+    words = cut(distinct.mapInPandas(cut_up, "value string, uses bigint, words array<string>"))
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, k, n in zip(b["entity_id"], b["kind"], b["name"], strict=True):
-                if n and k == "person":
-                    ks = Person(n).surname[-1:]
-                else:
-                    ks = [w for w in organisation(n)[1]] if n else []
-                for a in {x for w in ks for x in ((w, digraphs(w)) if k == "person" else (w, w + "er"))}:
-                    rows.append((i, k, n, a))
+                if n:
+                    ks = Person(n).surname[-1:] if k == "person" else list(dict.fromkeys(organisation(n)[0]))
+                    rows += [(i, k, n, w, x, w in (ks[0], ks[-1])) for w in ks for x in {w, digraphs(w) if k == "person" else w + "er"}]
             if rows:
-                yield pd.DataFrame(rows, columns=["entity_id", "kind", "name", "known"])
-
-    known = registry.select("entity_id", "kind", "name").mapInPandas(anchors, "entity_id bigint, kind string, name string, known string")
-    counts = words.groupBy("word").agg(F.sum("uses").alias("uses"))
+                yield pd.DataFrame(rows, columns=["entity_id", "kind", "name", "word", "known", "edge"])
+
+    every = registry.select("entity_id", "kind", "name").mapInPandas(anchors, "entity_id bigint, kind string, name string, word string, known string, edge boolean")
+    common = every.groupBy("word").agg(F.countDistinct("entity_id").alias("df"))
+    # the rarest of all words, and of the first and last one, which an acronym keeps; a few rows for each entity
+    rarest = lambda *by: F.rank().over(Window.partitionBy("entity_id", "name", *by).orderBy("df"))
+    known = every.join(common, "word").select("*", rarest().alias("r"), rarest("edge").alias("e"))
+    known = cut(known.where("r = 1 OR edge AND e = 1").select("entity_id", "kind", "name", "known").distinct())
+    counts = cut(words.select(F.explode("words").alias("word"), "uses").groupBy("word").agg(F.sum("uses").alias("uses")))
     near = trie_join(counts.select("word"), known.select("known"))
     right = counts.select(F.col("word").alias("known"), F.col("uses").alias("right_uses"))
-    # a misspelling is rare beside the spelling it stands for; a frequent one needs more evidence, see person_fits
-    near = near.join(counts, "word").join(right, "known", "left").select("word", "known", F.expr("d = 0 OR uses <= greatest(2, right_uses * 0.12)").alias("rare"))
-    near = near.groupBy("word", "known").agg(F.max("rare").alias("rare"))
+    # a misspelling is as frequent as slips of the pen explain (mean and three deviations); a more frequent spelling needs more evidence, see person_fits
+    slips = SLIPS * F.coalesce("right_uses", F.lit(0))
+    near = near.join(counts, "word").join(right, "known", "left").select("word", "known", ((F.col("d") == 0) | (F.col("uses") <= slips + 3 * F.sqrt(slips) + 1)).alias("rare"))
+    near = near.join(known, "known").groupBy("word", "entity_id", "kind", "name").agg(F.max("rare").alias("rare"))
     each = lambda rare: F.collect_set(F.when(F.col("rare") == rare, F.col("word")))
-    pairs = words.join(near, "word").join(known, "known").groupBy("value", "entity_id", "kind", "name").agg(each(True).alias("allowed"), each(False).alias("frequent"))
+    pairs = words.select("value", F.explode("words").alias("word")).join(near, "word").groupBy("value", "entity_id", "kind", "name").agg(each(True).alias("allowed"), each(False).alias("frequent"))
+    pairs = cut(pairs)
+
+    def givens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, n, g) for i, n in zip(b["entity_id"], b["name"], strict=True) for g in Person(n).given]
+            if rows:
+                yield pd.DataFrame(rows, columns=["entity_id", "name", "given"])
+
+    borne = known.where("kind = 'person'").select("entity_id", "name").distinct().mapInPandas(givens, "entity_id bigint, name string, given string")
+    shorts = short_forms(pairs).join(borne.select(F.col("given").alias("short")).distinct(), "short", "left_anti")
+    shorts = shorts.groupBy("given").agg(F.collect_list("short").alias("short"))
+    forms = borne.join(shorts, "given").groupBy("entity_id", "name").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("given", "short")))).alias("forms"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [person_fits(v, n, set(r), set(q)) if k == "person" else org_fits(v, n) for v, k, n, r, q in zip(b["value"], b["kind"], b["name"], b["allowed"], b["frequent"], strict=True)]
+            ok = []
+            for v, k, n, r, q, f in zip(b["value"], b["kind"], b["name"], b["allowed"], b["frequent"], b["forms"], strict=True):
+                ok.append(person_fits(v, n, set(r), set(q), {g: set(x) for g, x in json.loads(f).items()} if f else None) if k == "person" else org_fits(v, n))
             if any(ok):
-                yield b.loc[ok, ["value", "entity_id"]]
+                yield b.loc[ok, ["vid", "entity_id"]]
 
-    return pairs.select("value", "entity_id", "kind", "name", "allowed", "frequent").mapInPandas(check, "value string, entity_id bigint")
+    asked = pairs.join(forms, ["entity_id", "name"], "left").select(F.xxhash64("value").alias("vid"), "value", "entity_id", "kind", "name", "allowed", "frequent", "forms")
+    return asked.mapInPandas(check, "vid bigint, entity_id bigint").distinct()
 
 
 def found(bib_entries: DataFrame, verifications: DataFrame, registry: DataFrame) -> DataFrame:
     """``src, row_id, entity_id``: each record and each registered entity named in its author list."""
-    named = cut(names(bib_entries, verifications).select("src", "row_id", "value"))
+    lists = cut(name_lists(bib_entries, verifications).select("src", "row_id", "parts"))
     # spellings are counted over distinct author lists, so that a much-cited one counts once
-    lists = named.groupBy("src", "row_id").agg(F.sort_array(F.collect_set("value")).alias("values")).select("values").distinct()
-    return named.join(links(lists.select(F.explode("values").alias("value")), registry), "value").select("src", "row_id", "entity_id").distinct()
+    once = lists.select("parts", F.xxhash64(F.array_sort("parts")).alias("h")).dropDuplicates(["h"])
+    linked = links(once.select(F.explode("parts").alias("value")), registry)
+    named = lists.select("src", "row_id", F.explode(F.array_distinct(F.transform("parts", lambda x: F.xxhash64(x)))).alias("vid"))
+    return named.join(linked, "vid").select("src", "row_id", "entity_id").distinct()

@@ -123,7 +123,16 @@ def test_trie_equals_brute_force(words, query, most):
     ],
 )
 def test_variants(name, registered, kind, fits):
-    assert (variants.person_fits(name, registered, set()) if kind == "p" else variants.org_fits(name, registered)) is fits
+    short = {"josef": {"jupp"}}
+    assert (variants.person_fits(name, registered, set(), short=short) if kind == "p" else variants.org_fits(name, registered)) is fits
+
+
+def test_short_forms_are_learned(spark):
+    registry = [(i, "person", f"{s}, {g}") for i, (s, g) in enumerate([("Kelmadin", "Bertholdina"), ("Sorbatek", "Bertholdina"), ("Vandorik", "Bertholdina"), ("Pelgatin", "Quirinus"), ("Mirlodan", "Quirinus")])]
+    texts = ["Kelmadin, Bertholdina; Bell, C.", "Kelmadin, Quux; Bell, C.", "Sorbatek, Quux; Novak, D.", "Vandorik, Quux; Duarte, E.", "Pelgatin, Quux; Okafor, F.", "Pelgatin, Otto; Okafor, F.", "Mirlodan, Quirinus; Bell, G."]
+    b = spark.createDataFrame(list(enumerate(texts)), "entry_id long, authors string")
+    got = {tuple(r) for r in variants.found(b, spark.createDataFrame([], "verification_id long, correct_authors string"), spark.createDataFrame(registry, "entity_id long, kind string, name string")).select("row_id", "entity_id").collect()}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (6, 4)}
 
 
 def test_links_of_records(spark):
