@@ -13,20 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.variants import bound, digraphs, distance, fold, tokens
-from refloom.operators.packed_values import Lexicon, segment
-from refloom.session import cut, spread
-
-SAMPLE = 40_000  # candidate pairs the classifier is fitted on; all pairs are scored
-TITLE_BANDS, TITLE_ROWS = 16, 3
-BARE_BANDS, BARE_ROWS = 16, 4
-AUTHOR_BANDS, AUTHOR_ROWS = 6, 2
-PARTS = TITLE_BANDS * TITLE_ROWS + BARE_BANDS * BARE_ROWS + AUTHOR_BANDS * AUTHOR_ROWS
+from refloom.operators.packed_values import EMPTY, segment
+from refloom.session import cut, width
+
+SAMPLE = 40_000  # labelled pairs the classifier is fitted on; all pairs are scored
+TITLE_MINS, NAME_MINS = 3, 2  # least hashes of title words and of surnames that a record's blocks are made of
+STEM = 4  # letters of a word that enter the blocks, as titles are cut and abbreviated; whole titles are compared
 #: Fixed: words that titles lose or swap freely.
 STOP = frozenset("a an and of the in on for with to from by at und der die das des zur zum von mit fur fuer im auf le la les de des du et pour dans avec un une contre vers da do dos das em um uma com e na nas no nos para и в с на".split())
-#: Fixed: what tells a work from the one it follows.
-SEQUELS = (("ten", "years", "later"), ("a", "replication"), ("replication",), ("revisited",), ("second", "edition"), ("revised", "edition"))
-NUMBERED = frozenset("teil part partie parte band volume".split())
-ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6"}
+#: Fixed: words that tell a work from the one it follows: editions, sequels, later looks at it.
+SEQUELS = tuple(
+    tuple(x.split())
+    for x in "revisited,reconsidered,reloaded,continued,a replication,replication,a sequel,erratum,corrigendum,addendum,a reply,a rejoinder,ten years later,twenty years later,five years later,second edition,third edition,fourth edition,new edition,revised edition,extended edition,extended version,zweite auflage,dritte auflage,neue auflage,deuxieme edition,seconde edition,nouvelle edition,segunda edicao,segunda edicion,nova edicao".split(",")
+)
+NUMBERED = frozenset("teil part partie parte band volume vol tome tomo book chapter часть том".split())
+ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 
 
 def sequel(words: list[str]) -> tuple[list[str], str]:
@@ -34,25 +35,26 @@ def sequel(words: list[str]) -> tuple[list[str], str]:
     w = list(words)
     if w and w[-1].rstrip("s") in ROMAN and len(w) > 1:
         return w[:-1], ROMAN[w[-1].rstrip("s")]
-    if len(w) > 2 and re.fullmatch(r"\ds?", w[-1]) and any(distance(w[-2], x, 1) <= 1 for x in NUMBERED):
-        return w[:-2], w[-1][0]
+    if len(w) > 2 and re.fullmatch(r"\d\d?s?", w[-1]) and any(distance(w[-2], x, 1) <= 1 for x in NUMBERED):
+        return w[:-2], w[-1].rstrip("s")
     for s in SEQUELS:
         k = len(s)
-        if len(w) > k and all(distance(a, b, 2) <= min(2, bound(len(b)) + (len(b) > 3)) for a, b in zip(w[-k:], s, strict=True)):
+        if len(w) > k and all(abs(len(a) - len(b)) < 3 and distance(a, b, 2) <= min(2, bound(len(b)) + (len(b) > 3)) for a, b in zip(w[-k:], s, strict=True)):
             return w[:-k], s[-1]
     return w, ""
 
 
-def surnames(authors: str | None) -> list[str]:
+@lru_cache(1 << 16)
+def surnames(authors: str | None) -> tuple[str, ...]:
     """Folded surnames of an author list; of organisations, the last word."""
     out = []
-    for name, _ in segment(authors, Lexicon()) if authors else []:
+    for name, _ in segment(authors, EMPTY) if authors else []:
         f = fold(name)
         left, comma, _ = f.partition(",")
         words = [t for t in tokens(left if comma else f) if len(t) > 2]
         if words:
             out.append(digraphs(words[-1]))
-    return list(dict.fromkeys(out))
+    return tuple(dict.fromkeys(out))
 
 
 def year_of(text: str | None) -> int:
@@ -66,57 +68,50 @@ def prepared(title: str | None, authors: str | None, year: str | None) -> tuple[
     return " ".join(digraphs(w) for w in tokens(fold(t))), " ".join(surnames(authors)), year_of(year)
 
 
-_rng = np.random.default_rng(20240517)
-# odd factors of 64 bits, so that products wrap many times and no two functions order the words alike
-_A = _rng.integers(0, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, PARTS, dtype=np.uint64)
-
-
-def minhashes(words: list[str]) -> np.ndarray:
-    """One minimum for each of ``PARTS`` hash functions over the first four letters of the content words."""
-    h = np.array([zlib.crc32(w[:4].encode("utf-8", "replace")) for w in words], np.uint64)
-    return (h[:, None] * _A[None, :] + _B[None, :]).min(axis=0)
+def key_of(*parts) -> int:
+    """A 64-bit block id, alike in all processes: two checksums of the parts' text."""
+    t = "\x1f".join(map(str, parts)).encode("utf-8", "replace")
+    return (zlib.crc32(t) << 32 | zlib.adler32(t[::-1]) ^ zlib.crc32(t, 0x9E3779B9)) - (1 << 63)
 
 
-def key_of(*parts) -> int:
-    """A 64-bit block id; tuples of integers hash alike in all processes."""
-    return hash(parts)
+def least(words: set[str] | list[str], k: int, salt: str) -> list[str]:
+    """The words with the ``k`` least hashes (the bottom-k form of MinHash): two sets that share much share some of these."""
+    return sorted(sorted(set(words), key=lambda w: (zlib.crc32((salt + w).encode("utf-8", "replace")), w))[:k])
 
 
 def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
-    """Blocks of a record: MinHash bands of the title with the year or with a surname, and the title alone.
+    """Blocks of a record.
 
-    The right side (``wide``) enters the blocks of the neighbouring years too,
-    and either side those for records without a year.
+    * two of the title's least words with one of the two least surnames
+    * the two least surnames with the year
+    * all words of the title, and all but one, for each one, so that titles
+      with one word wrong on each side meet
+    * the whole title on one side, each beginning of it on the other, so that
+      a cut title meets the whole one
+    * of titles of one or two words, which many works bear: the title with the year
+
+    The right side (``wide``) enters the blocks of the neighbouring years too.
     """
     base, _ = sequel(title.split())
-    words = sorted({w for w in base if w not in STOP and len(w) > 1} or set(base))
+    order = [w[:STEM] for w in base if w not in STOP and len(w) > 1] or [w[:STEM] for w in base]
+    words = sorted(set(order))
     if not words:
         return []
-    m = minhashes(words)
-    out = [key_of(0, zlib.crc32(" ".join(w[:4] for w in words).encode("utf-8", "replace")), len(words))]
-    k = 0
-    for b in range(TITLE_BANDS):
-        band = tuple(m[k : k + TITLE_ROWS].tolist())
-        k += TITLE_ROWS
-        if year:
-            out += [key_of(1, b, y, band) for y in ((year - 1, year, year + 1) if wide else (year,))]
-    for b in range(BARE_BANDS):
-        band = tuple(m[k : k + BARE_ROWS].tolist())
-        k += BARE_ROWS
-        # a left record without a year meets all right ones, a right one without a year all left ones
-        if wide:
-            out.append(key_of(2, b, band))
-            if not year:
-                out.append(key_of(3, b, band))
-        else:
-            out.append(key_of(3, b, band))
-            if not year:
-                out.append(key_of(2, b, band))
-    for b in range(AUTHOR_BANDS):
-        band = tuple(m[k : k + AUTHOR_ROWS].tolist())
-        k += AUTHOR_ROWS
-        out += [key_of(4, b, zlib.crc32(s[:5].encode()), band) for s in names.split()]
+    years = ((year - 1, year, year + 1) if wide else (year,)) if year else ()
+    mins, own = least(words, TITLE_MINS, "t"), least(names.split(), NAME_MINS, "n")
+    pairs = [(a, b) for i, a in enumerate(mins) for b in mins[i + 1 :]] or [tuple(mins)]
+    out = [key_of(1, s, *p) for s in own for p in pairs]
+    if len(own) > 1:
+        out += [key_of(2, y, *own) for y in years]
+    if len(words) < 3:
+        out += [key_of(3, y, *words) for y in years]
+        return list(set(out))
+    out.append(key_of(4, *words))
+    if len(words) > 3:
+        out += [key_of(4, *words[:i], *words[i + 1 :]) for i in range(len(words))]
+    whole, part = (6, 5) if wide else (5, 6)
+    out.append(key_of(whole, *order))
+    out += [key_of(part, *order[:i]) for i in range(2, len(order) + 1)]
     return list(set(out))
 
 
@@ -132,7 +127,7 @@ def same_word(a: str, b: str) -> bool:
     return bool(n) and distance(a, b, n) <= n
 
 
-FEATURES = ("bias", "exact", "swapped", "missing", "sequel", "overlap", "no_authors", "conflict", "same_year", "near_year", "far_year", "no_year", "short", "short_no_authors", "missing_far", "short_conflict", "long_exact")
+FEATURES = ("bias", "exact", "swapped", "missing", "sequel", "overlap", "no_authors", "conflict", "same_year", "near_year", "far_year", "no_year", "short", "short_no_authors", "missing_far", "short_conflict", "long_exact", "other_part", "other_words", "other_authors", "namesake")
 
 
 def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float]:
@@ -160,7 +155,19 @@ def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float
     both = bool(u and v)
     dy = abs(y1 - y2) if y1 and y2 else -1
     short = len(ca) <= 4 and len(cb) <= 4
-    return [1.0, float(exact), float(swapped), missing, float(s1 != s2), overlap, float(not both), float(both and hits == 0), float(dy == 0), float(dy == 1), float(dy > 1), float(dy < 0), float(short), float(short and not both), missing * (dy > 1), float(short and both and hits == 0), float(close and not short)]
+    conflict, long_exact = both and hits == 0, close and not short
+    # a mark of a sequel on one side only, unless the other title is cut short (the mark may be cut off too) and authors and year agree
+    other_part = s1 != s2 and not (missing >= 0.12 and dy == 0 and overlap >= 0.5)
+    # words that stand for other words need agreeing authors and years
+    other_words = swapped >= 2 or (swapped and (overlap < 0.5 or dy > 1))
+    # unlike authors need a title alike in full
+    other_authors = conflict and (not long_exact or dy > 1)
+    # titles of a few words that many works bear need agreeing authors, or, where these are not given, the same year
+    namesake = short and (overlap < 0.5 or (dy > 1 and overlap < 0.8) if both else dy != 0 and not close)
+    return [
+        1.0, float(exact), float(swapped), missing, float(s1 != s2), overlap, float(not both), float(conflict), float(dy == 0), float(dy == 1), float(dy > 1), float(dy < 0), float(short), float(short and not both), missing * (dy > 1),
+        float(short and conflict), float(long_exact), float(other_part), float(other_words), float(other_authors), float(namesake),
+    ]
 
 
 COL = {n: i for i, n in enumerate(FEATURES)}
@@ -169,47 +176,21 @@ COL = {n: i for i, n in enumerate(FEATURES)}
 def weak_label(f: list[float]) -> int:
     """1, 0, or -1 (no label), from rules that are each right nearly always."""
     g = lambda n: f[COL[n]]
-    if g("sequel"):
-        return -1  # decided by ``excluded``
-    if g("swapped") >= 2 or g("missing") > 0.7:
-        return 0
-    if g("conflict") and (g("far_year") or g("short")):
-        return 0
-    if g("conflict") and g("swapped"):
+    if g("other_part") or g("swapped") >= 2 or g("missing") > 0.7 or g("other_words") or g("other_authors"):
         return 0
-    if g("swapped") and (g("far_year") or g("no_authors")):
-        return 0
-    if g("short_no_authors"):
-        return 0 if g("far_year") else -1
-    if g("overlap") >= 0.5 and not g("swapped") and not g("far_year") and (g("missing") <= 0.6):
+    if g("namesake"):
+        return 0 if g("conflict") or g("far_year") or not g("no_authors") else -1
+    if g("overlap") >= 0.5 and not g("far_year") and g("missing") <= 0.6:
         return 1
     if g("overlap") >= 0.5 and g("exact") and not g("short"):
         return 1
-    if g("no_authors") and g("exact") and not g("far_year"):
+    if g("no_authors") and g("long_exact") and not g("far_year"):
         return 1
     return -1
 
 
-def excluded(f: list[float]) -> bool:
-    """Exact check after the classifier: another part, edition or piece of the same name.
-
-    Titles in which words stand for other words need agreeing authors and
-    years, and unlike authors need a title alike in full.
-    A sequel's mark on one side only excludes a pair, unless the other title
-    is cut short (the mark may be cut off too) and authors and year agree.
-    Titles of a few words that many works bear need agreeing authors, or,
-    where these are not given, the same year.
-    """
-    g = lambda n: f[COL[n]]
-    if g("sequel") and not (g("missing") >= 0.12 and g("same_year") and g("overlap") >= 0.5):
-        return True
-    if g("swapped") >= 2 or g("swapped") and (g("overlap") < 0.5 or g("far_year")):
-        return True
-    if g("conflict") and (not g("long_exact") or g("far_year")):
-        return True
-    if g("short") and not g("no_authors") and (g("overlap") < 0.5 or g("far_year") and g("overlap") < 0.8):
-        return True
-    return bool(g("short") and (g("conflict") or g("no_authors") and not g("same_year")) and not (g("no_authors") and g("long_exact")))
+#: What is believed before any pair is labelled: the mean of the weights' prior distribution, in the order of ``FEATURES``.
+PRIOR = np.array([1.0, 1.5, -3.0, -3.0, -1.0, 3.0, 1.0, -2.0, 1.5, 1.0, -1.5, 0.3, -0.5, -0.5, -4.0, -1.0, 1.5, -6.0, -5.0, -5.0, -5.0])
 
 
 class Classifier:
@@ -217,22 +198,25 @@ class Classifier:
 
     Fitted by Newton steps on one half of the labelled pairs; a second
     one-variable logistic fit on the scores of the other half (Platt) makes
-    the scores probabilities.
+    the scores probabilities. Both have a normal prior around what is believed
+    before (``PRIOR``; the scores as they are), so that any number of labels,
+    none included, gives a model, and many outweigh it.
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         half = np.arange(len(y)) % 2 == 0
-        self.w = self.fit(x[half], y[half], 0.5)
+        self.w = self.fit(x[half], y[half], PRIOR, 0.5)
         s = x[~half] @ self.w
-        self.platt = self.fit(np.column_stack([s, np.ones(len(s))]), y[~half], 0.01) if len(s) and 0 < y[~half].sum() < len(s) else np.array([1.0, 0.0])
+        self.platt = self.fit(np.column_stack([s, np.ones(len(s))]), y[~half], np.array([1.0, 0.0]), 5.0)
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-        w = np.zeros(x.shape[1])
-        for _ in range(25):
+    def fit(x: np.ndarray, y: np.ndarray, mean: np.ndarray, ridge: float) -> np.ndarray:
+        w = mean.copy()
+        for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-            w = w + np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+            h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(mean))
+            step = np.linalg.solve(h, x.T @ (y - p) - ridge * (w - mean))
+            w = w + step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
         return w
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -240,19 +224,16 @@ class Classifier:
         return 1 / (1 + np.exp(-s))
 
 
-#: Used where too few pairs can be labelled to fit anything (tiny tables).
-DEFAULT = np.array([1.0, 1.5, -4.0, -3.0, -8.0, 4.0, 1.0, -5.0, 1.5, 1.0, -1.5, 0.3, -1.0, -1.0, -4.0, -4.0, 1.0])
-
-
-def signatures(rows: DataFrame, ident: str, title: str, authors: str, year: str) -> tuple[DataFrame, DataFrame]:
-    """Records with the id of their signature, and the distinct signatures with their blocks.
+def signatures(rows: DataFrame, ident: str, title: str, authors: str, year: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records with the id of their signature, the distinct signatures, and their blocks.
 
     Records that agree in title, authors and year after folding are one
     signature: a work cited by a third of all entries is compared once for
     each way it is written, not once for each entry.
     """
     wide = ident == "result_id"
-    src = spread(rows.select(F.col(ident).alias("ident"), F.col(title).alias("t"), F.col(authors).alias("a"), F.col(year).cast("string").alias("y")).where("t IS NOT NULL AND t != ''"))
+    src = rows.select(F.col(ident).alias("ident"), F.col(title).alias("t"), F.col(authors).alias("a"), F.col(year).cast("string").alias("y"))
+    src = src.repartition(width(src), "ident").dropDuplicates(["ident"]).where("t IS NOT NULL AND t != ''")
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -266,26 +247,23 @@ def signatures(rows: DataFrame, ident: str, title: str, authors: str, year: str)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s, k) for s, t, n, y in zip(b["sig"], b["title"], b["names"], b["year"], strict=True) for k in block_keys(t, n, int(y), wide)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["sig", "block"])
+            if len(b):
+                keys = [block_keys(t, n, int(y), wide) for t, n, y in zip(b["title"], b["names"], b["year"], strict=True)]
+                yield pd.DataFrame({"sig": np.repeat(b["sig"].to_numpy(np.int64), [len(k) for k in keys]), "block": np.array([x for k in keys for x in k], np.int64)})
 
-    distinct = ready.select("sig", "title", "names", "year").dropDuplicates(["sig"])
-    return ready, distinct.mapInPandas(block, "sig bigint, block bigint")
+    # kept, as each reading of an exchange would deduplicate anew
+    distinct = cut(ready.select("sig", "title", "names", "year").repartition(width(ready), "sig").dropDuplicates(["sig"]))
+    return ready.select("ident", "sig"), distinct, distinct.mapInPandas(block, "sig bigint, block bigint")
 
 
-def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
-    """``entry_id, result_id, confidence`` of all scored candidate pairs.
-
-    An entry delivered again counts once. Entries and results without a title
-    match nothing; missing authors or years make a match less certain. Extra
-    columns are ignored.
-    """
-    left, lb = signatures(entries.select("entry_id", "title", "authors", "year").dropDuplicates(["entry_id"]), "entry_id", "title", "authors", "year")
-    right, rb = signatures(cache.select("result_id", "matched_title", "correct_authors", "note"), "result_id", "matched_title", "correct_authors", "note")
-    pairs = lb.withColumnRenamed("sig", "l").join(rb.withColumnRenamed("sig", "r"), "block").select("l", "r").distinct()
-    ls = left.select(F.col("sig").alias("l"), F.col("title").alias("t1"), F.col("names").alias("n1"), F.col("year").alias("y1")).dropDuplicates(["l"])
-    rs = right.select(F.col("sig").alias("r"), F.col("title").alias("t2"), F.col("names").alias("n2"), F.col("year").alias("y2")).dropDuplicates(["r"])
+def scored_signatures(entries: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``l, r, confidence`` of all candidate pairs of signatures, and the records of both sides' signatures."""
+    left, ls, lb = signatures(entries, "entry_id", "title", "authors", "year")
+    right, rs, rb = signatures(cache, "result_id", "matched_title", "correct_authors", "note")
+    # blocks come out of Python and grow with the data, so that no side of these joins is ever small
+    pairs = lb.withColumnRenamed("sig", "l").join(rb.withColumnRenamed("sig", "r").hint("merge"), "block").select("l", "r").distinct()
+    rs = rs.select(F.col("sig").alias("r"), F.col("title").alias("t2"), F.col("names").alias("n2"), F.col("year").alias("y2"))
+    ls = ls.select(F.col("sig").alias("l"), F.col("title").alias("t1"), F.col("names").alias("n1"), F.col("year").alias("y1"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -294,28 +272,39 @@ def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
             f = [features(*x) for x in zip(b["t1"], b["n1"], b["y1"], b["t2"], b["n2"], b["y2"], strict=True)]
             yield pd.DataFrame({"l": b["l"], "r": b["r"], "f": f, "label": [weak_label(x) for x in f]})
 
-    scored = cut(pairs.join(ls, "l").join(rs, "r").mapInPandas(compare, "l bigint, r bigint, f array<double>, label int"))
-    labelled = scored.where("label >= 0")
+    both = pairs.join(rs.hint("merge"), "r").join(ls.hint("merge"), "l")
+    scored = cut(both.mapInPandas(compare, "l bigint, r bigint, f array<float>, label int"))
     half = SAMPLE // 2
-    fit = [r for v in (0, 1) for r in labelled.where(f"label = {v}").orderBy(F.xxhash64("l", "r")).limit(half).collect()]
-    if sum(r["label"] for r in fit) >= 50 and sum(1 - r["label"] for r in fit) >= 50:
-        fit.sort(key=lambda r: zlib.crc32(f"{r['l']},{r['r']}".encode()))
-        model = Classifier(np.array([r["f"] for r in fit]), np.array([r["label"] for r in fit], float))
-    else:
-        model = Classifier(np.zeros((0, len(FEATURES))), np.zeros(0))
-        model.w = DEFAULT
+    fit = [r for v in (0, 1) for r in scored.where(f"label = {v}").orderBy(F.xxhash64("l", "r")).limit(half).collect()]
+    fit.sort(key=lambda r: zlib.crc32(f"{r['l']},{r['r']}".encode()))
+    model = Classifier(np.array([r["f"] for r in fit], float).reshape(len(fit), len(FEATURES)), np.array([r["label"] for r in fit], float))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                p = model.probability(np.array(b["f"].tolist()))
-                yield b[["l", "r"]].assign(confidence=np.where([excluded(f) for f in b["f"]], 0.0, p))
+                yield b[["l", "r"]].assign(confidence=model.probability(np.array(b["f"].tolist(), float)))
+
+    good = scored.select("l", "r", "f").mapInPandas(judge, "l bigint, r bigint, confidence double")
+    return good, left.withColumnRenamed("sig", "l"), right.withColumnRenamed("sig", "r")
 
-    good = scored.mapInPandas(judge, "l bigint, r bigint, confidence double").where("confidence >= 0.05")
-    out = good.join(right.select(F.col("sig").alias("r"), F.col("ident").alias("result_id")), "r").join(left.select(F.col("sig").alias("l"), F.col("ident").alias("entry_id")), "l")
+
+def spelled_out(good: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of signatures as pairs of records."""
+    out = good.join(right.select("r", F.col("ident").alias("result_id")).hint("merge"), "r").join(left.select("l", F.col("ident").alias("entry_id")).hint("merge"), "l")
     return out.select("entry_id", "result_id", "confidence")
 
 
+def matched(entries: DataFrame, cache: DataFrame) -> DataFrame:
+    """``entry_id, result_id, confidence`` of all candidate pairs, the unlikely ones too.
+
+    An entry delivered again counts once. Entries and results without a title
+    match nothing; missing authors or years make a match less certain. Extra
+    columns are ignored.
+    """
+    return spelled_out(*scored_signatures(entries, cache))
+
+
 def found(entries: DataFrame, cache: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``entry_id, result_id`` of the pairs that are more likely than not about one work."""
-    return matched(entries, cache).where(F.col("confidence") >= threshold).select("entry_id", "result_id")
+    good, left, right = scored_signatures(entries, cache)
+    return spelled_out(good.where(F.col("confidence") >= threshold), left, right).select("entry_id", "result_id")

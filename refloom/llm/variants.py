@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,12 +20,15 @@ SHARD = 20_000  # words of one length that one task looks up in a trie
 SLIPS = 0.04  # share of uses of a surname that are misspelt
 STROKES = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 ACCENT = re.compile(r"\{?\\([\"'`^~=.]|[uvHcdb](?=[\s{]))\s*\{?\\?([A-Za-z])\}?\}?")
+PIECES = re.compile(r"\S+|\s+")
 MACROS = {"\\aa": "å", "\\AA": "Å", "\\o": "ø", "\\O": "Ø", "\\l": "ł", "\\L": "Ł", "\\ss": "ß", "\\ae": "æ", "\\AE": "Æ"}
 
 
-def fold(text: str) -> str:
-    """A name in small letters without accents, look-alikes, macros and invisible characters."""
-    t = ACCENT.sub(r"\2", plain(text))
+@lru_cache(1 << 17)
+def fold_word(word: str) -> str:
+    if word.isascii() and "\\" not in word:
+        return word.casefold()
+    t = ACCENT.sub(r"\2", plain(word))
     for m, c in MACROS.items():
         if m in t:
             t = re.sub(r"\{?" + re.escape(m) + r"(?![A-Za-z])\s*\}?", c, t)
@@ -32,6 +36,13 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
 
 
+def fold(text: str) -> str:
+    """A name in small letters without accents, look-alikes, macros and invisible characters."""
+    if "\\" in text:
+        return fold_word(text)  # a macro may go on behind a space
+    return "".join(map(fold_word, PIECES.findall(text)))
+
+
 def tokens(folded: str) -> list[str]:
     """Words of a folded name; apostrophes belong to the word, hyphens part words."""
     return re.findall(r"[^\W_]+", re.sub(r"['’‘`]", "", re.sub(r"\barb\.?-gr\b", "arbgr", folded)))

@@ -1,8 +1,10 @@
 """Training-data operators against brute force, round trips and small cases."""
 
 import base64
+import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,7 +177,42 @@ def test_misspelt_beginnings_are_scored(spark):
 
 
 def test_blocks_agree_across_processes():
-    assert matching.key_of(4, 1, 7, (3, 5)) == hash((4, 1, 7, (3, 5)))
+    import subprocess
+    import sys
+
+    got = subprocess.run([sys.executable, "-c", "from refloom.llm.matching import key_of; print(key_of(4, 1, 'naß'))"], capture_output=True, text=True, check=True)
+    assert int(got.stdout) == matching.key_of(4, 1, "naß") and -(1 << 63) <= int(got.stdout) < 1 << 63
+
+
+def test_blocks_find_what_all_pairs_hold(spark):
+    """Recall of the blocks against all pairs of two small tables, judged by the same classifier."""
+    folder = "/root/testdata/sf0.001"
+    pytest.importorskip("pyarrow.parquet")
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    entries = spark.read.parquet(f"{folder}/bib_entries.parquet").where("entry_id % 4 = 0").dropDuplicates(["entry_id"])
+    cache = spark.read.parquet(f"{folder}/verification_cache.parquet")
+    pick = lambda df, *c: {matching.prepared(*r[1:]): r[0] for r in df.select(*c).collect()}
+    es, rs = pick(entries, "entry_id", "title", "authors", "year"), pick(cache, "result_id", "matched_title", "correct_authors", "note")
+    model = matching.Classifier(np.zeros((0, len(matching.FEATURES))), np.zeros(0))
+    pairs = [(e, r) for e in es for r in rs if e[0] and r[0]]
+    p = model.probability(np.array([matching.features(*e, *r) for e, r in pairs]))
+    true = {x for x, q in zip(pairs, p, strict=True) if q >= 0.5}
+    blocks = {x: set(matching.block_keys(*x, False)) for x in es} | {("r", *x): set(matching.block_keys(*x, True)) for x in rs}
+    met = {(e, r) for e, r in true if blocks[e] & blocks["r", *r]}
+    assert len(true) > 10 and len(met) >= 0.95 * len(true)
+
+
+def test_no_labels_and_many_labels():
+    rng = np.random.default_rng(1)
+    none = matching.Classifier(np.zeros((0, len(matching.FEATURES))), np.zeros(0))
+    assert np.allclose(none.w, matching.PRIOR) and np.allclose(none.platt, [1, 0])
+    # labels against what was believed before outweigh it, and the probabilities are calibrated
+    x = np.zeros((4000, len(matching.FEATURES)))
+    x[:, 0], x[:, 1] = 1, rng.random(4000) < 0.5
+    y = (rng.random(4000) < np.where(x[:, 1] > 0, 0.2, 0.9)).astype(float)
+    p = matching.Classifier(x, y).probability(x)
+    assert abs(p[x[:, 1] > 0].mean() - 0.2) < 0.05 and abs(p[x[:, 1] == 0].mean() - 0.9) < 0.05
 
 
 def test_report_needs_no_documents(spark):
