@@ -19,6 +19,7 @@ BYTES = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r",
 BREAK = r"[\x00-\x40\x5b-\x60\x7b-\x7f]+"
 UNIT = re.compile("[^\x00-\x7f]+")
 LOST = "\ufffd"
+MORE = 20
 SHORT = 3  # a byte read as another byte leaves a word of the same length; shorter ones are words of some language too often
 
 
@@ -49,7 +50,7 @@ def forms(word: str) -> dict[str, str]:
             if g and g != word:
                 once.setdefault((d, g), None)
                 out.setdefault(g, f"utf-8>{d}")
-    for (d, g), e in itertools.product(once, BYTES[:5]):
+    for (d, g), e in itertools.product(once, BYTES):
         for gaps in ("c1", "ignore"):
             h = wide(g.encode("utf-8", "replace"), e, gaps)
             if h:
@@ -109,10 +110,12 @@ def garbled_table(vocab: DataFrame) -> DataFrame:
 def verified(hits: DataFrame, model: Bigrams) -> DataFrame:
     """Keep pairs in which the original reads better than the form, and the best original of each form.
 
-    Reading better: at least as many documents, and for a form no longer than
-    the original (a byte read as another byte, so that the way back garbles
-    too) a higher mean log-probability of its characters under the bigrams of
-    the whole corpus.
+    Reading better: for a form no longer than the original (a byte read as
+    another byte, so that the way back garbles too) at least as many documents
+    and a higher mean log-probability of its characters under the bigrams of
+    the whole corpus. A longer form, or one with lost characters, shows by
+    itself what it is; it may be more frequent than its original by ``MORE``
+    times, as where a large source was read wrongly as a whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +126,8 @@ def verified(hits: DataFrame, model: Bigrams) -> DataFrame:
             yield b.assign(gain=gain)
 
     scored = hits.mapInPandas(run, "form string, unit boolean, original string, chain string, n bigint, m bigint, gain double")
-    good = scored.where("gain > 0.3 AND n >= m")
+    shows = (F.length("form") > F.length("original")) | F.contains(F.col("form"), F.lit(LOST))
+    good = scored.where((F.col("gain") > 0.3) & ((F.col("n") >= F.col("m")) | shows & (F.col("n") * MORE >= F.col("m"))))
     best = good.groupBy("form", "unit").agg(
         F.max_by(F.struct("original", "chain"), F.struct("n", "original")).alias("o"), F.countDistinct("original").alias("choices")
     )
@@ -141,24 +145,25 @@ def matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     vocab = cut(vocabulary(words))
     table = garbled_table(vocab)
     here = vocab.select(F.col("word").alias("form"), "unit", F.col("n").alias("m"))
-    hits = table.join(here, ["form", "unit"])
+    # both sides come out of Python or grow with the corpus, so that none of these joins may broadcast
+    hits = table.join(here.hint("merge"), ["form", "unit"])
     good = cut(verified(hits.select("form", "unit", "original", "chain", "n", "m"), learn(vocab.where("NOT unit"))))
     whole = good.where("NOT unit").select(F.col("form").alias("word"), "original", "chain")
     # words with a garbled unit: the originals of the units in place of the units
     parts = vocab.where("NOT unit").select("word", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(word, '[^\\x00-\\x7F]+', 0)"))).alias("form"))
-    by_unit = parts.join(good.where("unit").select("form", "original", "chain"), "form").groupBy("word").agg(
+    by_unit = parts.join(good.where("unit").select("form", "original", "chain").hint("merge"), "form").groupBy("word").agg(
         F.map_from_entries(F.collect_list(F.struct("form", F.coalesce("original", F.lit(LOST))))).alias("m"), F.max("chain").alias("chain")
     )
     swapped = F.aggregate(F.map_entries("m"), F.col("word"), lambda w, e: F.replace(w, e["key"], e["value"]))
     by_unit = by_unit.select("word", F.when(~swapped.contains(LOST), swapped).alias("original"), "chain")
-    rest = by_unit.join(whole.select("word"), "word", "left_anti")
+    rest = by_unit.join(whole.select("word").hint("merge"), "word", "left_anti")
     return words, whole.unionByName(rest)
 
 
 def found(documents: DataFrame) -> DataFrame:
     """Documents with at least one garbled passage. Null and empty texts are no cases."""
     words, bad = matches(documents)
-    return words.join(bad.select("word"), "word", "left_semi").select(F.col("ident").alias("doc_id")).distinct()
+    return words.join(bad.select("word").hint("merge"), "word", "left_semi").select(F.col("ident").alias("doc_id")).distinct()
 
 
 def restored(documents: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def restored(documents: DataFrame) -> DataFrame:
     restored each.
     """
     words, bad = matches(documents)
-    of = words.distinct().join(bad, "word").groupBy("ident").agg(
+    of = words.distinct().join(bad.hint("merge"), "word").groupBy("ident").agg(
         F.count("*").alias("n_garbled"), F.count_if(F.col("original").isNull()).alias("n_lost"),
         F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("word", "original"))))).alias("swap"),
     )
@@ -187,5 +192,5 @@ def restored(documents: DataFrame) -> DataFrame:
                 done.append("".join(m.get(w, w) for w in cut_at.split(text)))
             yield b.drop(columns="swap").assign(text=done)
 
-    joined = documents.select("doc_id", "text").join(of.withColumnRenamed("ident", "doc_id"), "doc_id").select("doc_id", "n_garbled", "n_lost", "text", "swap")
+    joined = documents.select("doc_id", "text").join(of.withColumnRenamed("ident", "doc_id").hint("merge"), "doc_id").select("doc_id", "n_garbled", "n_lost", "text", "swap")
     return joined.mapInPandas(run, "doc_id bigint, n_garbled bigint, n_lost bigint, text string")
