@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and small cases."""
 
 import base64
+import datetime
 import os
 import random
 
@@ -74,13 +75,23 @@ def test_copies(spark):
     assert copies.found(df.limit(0)).count() == 0
 
 
-def test_ledger_is_the_same_for_any_batches(spark):
-    rows = [(i, None, i % 7, f"k{i % 7}") for i in range(50)]
-    all_ = spark.createDataFrame(rows, "ident long, seen_at timestamp, bucket int, key string")
-    whole = copies.CopyLedger().update(all_).counts
-    parts = copies.CopyLedger().update(all_.where("ident < 20")).update(all_.where("ident >= 20")).counts
-    pick = lambda d: {(r["key"], r["n_copies"], r["first_id"]) for r in d.collect()}
-    assert pick(whole) == pick(parts)
+def test_ledger_in_batches(spark, tmp_path):
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 9) if i % 5 else None, f"k{i % 7}") for i in range(50)]
+    all_ = spark.createDataFrame(rows, "ident long, seen_at timestamp, key string")
+    pick = lambda x: {(r["key"], r["n_copies"], r["first_id"], r["earliest_id"], r["first_seen"]) for r in x.load().collect()}
+    whole = copies.CopyLedger(spark, str(tmp_path / "a"), 16)
+    whole.update(all_)
+    parts = copies.CopyLedger(spark, str(tmp_path / "b"), 16)
+    for where in ("ident >= 20", "ident < 20 AND key != 'k3'"):
+        parts.update(all_.where(where))
+    # a ledger opened again goes on from what was stored; a batch of one key reads and writes one bucket
+    again = copies.CopyLedger(spark, str(tmp_path / "b"))
+    before = dict(again.state["at"])
+    assert len(again.update(all_.where("ident < 20 AND key = 'k3'"))) == 1 and again.state["buckets"] == 16
+    assert sum(before[b] != v for b, v in again.state["at"].items()) == 1 < len(before)
+    assert pick(whole) == pick(again) and again.update(all_.limit(0)) == []
+    first = min((r[1], r[0]) for r in rows if r[2] == "k1" and r[1])
+    assert next(x for x in pick(again) if x[0] == "k1")[3] == first[1]
 
 
 @pytest.mark.parametrize(
