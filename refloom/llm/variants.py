@@ -16,7 +16,7 @@ from refloom.llm.lookalikes import TO_LATIN, plain
 from refloom.operators.packed_values import PARTICLES, name_lists
 from refloom.session import cut, width
 
-SHARD = 20_000  # words of one length that one task looks up in a trie
+SHARD = 2_000  # words of one length that one task looks up in a trie
 SLIPS = 0.04  # share of uses of a surname that are misspelt
 STROKES = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 ACCENT = re.compile(r"\{?\\([\"'`^~=.]|[uvHcdb](?=[\s{]))\s*\{?\\?([A-Za-z])\}?\}?")
@@ -137,6 +137,8 @@ def trie_join(words: DataFrame, known: DataFrame) -> DataFrame:
                 rows += [(w, k, d) for k, d in trie.near(w, b) if d <= min(b, bound(len(k)))]
         return pd.DataFrame(rows, columns=["word", "known", "d"])
 
+    # few bytes and much work: by a fixed number of partitions, which are not joined into fewer
+    asks, homes = (x.repartition(width(x), "len", "salt") for x in (asks, homes))
     return asks.groupBy("len", "salt").cogroup(homes.groupBy("len", "salt")).applyInPandas(run, "word string, known string, d int")
 
 
