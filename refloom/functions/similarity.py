@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -45,36 +47,64 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def letters(title: str) -> tuple[np.ndarray, int]:
-    """Counts of a title's letters (of its distinct words, in 64 classes), and the length of these words joined."""
-    joined = " ".join(set((title or "").split()))
-    points = np.frombuffer(joined.replace(" ", "").encode("utf-32-le", "replace"), np.uint32)
-    return np.bincount(points & 63, minlength=64).astype(np.int16), len(joined)
-
+def letters(words: set[str]) -> np.ndarray:
+    """Counts of a title's letters, in 64 classes."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    return np.bincount(points & 63, minlength=64).astype(np.int16)
 
-def may_reach(a: list[str], b: list[str], threshold: float) -> np.ndarray:
-    """Whether each pair's ``token_set`` can reach the threshold, judged by letter counts; never false where it does.
 
-    Letters that one title has more of than the other must be in its unshared
-    words, so their number bounds each of the three ratios from above.
-    """
-    seen = {t: letters(t) for t in {*a, *b}}
-    ha, hb = np.array([seen[t][0] for t in a]), np.array([seen[t][0] for t in b])
-    la, lb = np.array([seen[t][1] for t in a]), np.array([seen[t][1] for t in b])
-    over, under = np.maximum(ha - hb, 0).sum(axis=1), np.maximum(hb - ha, 0).sum(axis=1)
-    slack = 1 - threshold + 1e-9
-    part = lambda d, n: (d == 0) | (1 + d <= slack * (2 * n - 1 - d))
-    return part(over, la) | part(under, lb) | (over + under <= slack * (la + lb))
+class Titles:
+    """Titles as arrays: words, letters, lengths, and for each word the titles that have it."""
 
+    def __init__(self, titles: list[str]):
+        self.titles = titles
+        self.words = [set(t.split()) for t in titles]
+        self.counts = np.array([letters(w) for w in self.words]).reshape(len(titles), 64)
+        self.size = np.array([sum(map(len, w)) for w in self.words])
+        self.n = np.array([len(w) for w in self.words])
+        post: dict[str, list[int]] = {}
+        for i, ws in enumerate(self.words):
+            for w in ws:
+                post.setdefault(w, []).append(i)
+        self.post = {w: np.array(x) for w, x in post.items()}
 
-def similar_titles(threshold: float):
-    """Like ``title_similarity``, but 0 for pairs that cannot reach the threshold."""
 
-    @F.pandas_udf(T.DoubleType())
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = a.tolist(), b.tolist()
-        return pd.Series([token_set(p, q) if m else 0.0 for p, q, m in zip(x, y, may_reach(x, y, threshold), strict=True)], dtype="float64")
+def alike_within(left: list[str], right: list[str] | None, threshold: float) -> Iterator[tuple[str, str, float]]:
+    """All pairs of one title of each list (or of two titles of ``left``) whose ``token_set`` reaches the threshold, in order, with it.
 
-    return similarity
+    For each title, what it shares with all others comes from the lists of
+    titles that have its words; of the three ratios two follow from that
+    exactly. The third is bounded by the letters one title has more of than
+    the other, as these must be in its unshared words; only pairs whose bound
+    reaches the threshold are compared letter by letter.
+    """
+    a = Titles(left)
+    b = a if right is None else Titles(right)
+    if not len(b.titles):
+        return
+    slack = 1 - threshold + 1e-9
+    for i, t in enumerate(a.titles):
+        if not a.n[i]:
+            continue
+        from_ = i + 1 if right is None else 0
+        shared, k = np.zeros(len(b.titles), np.int64), np.zeros(len(b.titles), np.int64)
+        for w in a.words[i]:
+            at = b.post.get(w)
+            if at is not None:
+                shared[at] += len(w)
+                k[at] += 1
+        some = k > 0
+        both = np.where(some, shared + k - 1, 0)  # letters of the shared words and the spaces between
+        x = np.where(a.n[i] > k, a.size[i] - shared + a.n[i] - k - 1, 0)
+        y = np.where(b.n > k, b.size - shared + b.n - k - 1, 0)
+        lx, ly = both + some + x, both + some + y
+        whole = some & ((x == 0) | (y == 0))
+        close = some & ((some + x <= slack * (both + lx)) | (some + y <= slack * (both + ly)))
+        over = np.maximum(a.counts[i] - b.counts, 0).sum(axis=1) + np.maximum(b.counts - a.counts[i], 0).sum(axis=1)
+        # unlike letters, and the spaces that one side has more of
+        near = np.maximum(over, np.abs(lx - ly)) <= slack * (lx + ly)
+        for j in np.flatnonzero((whole | close | near) & (b.n > 0) & (np.arange(len(b.titles)) >= from_)):
+            s = 1.0 if whole[j] else token_set(t, b.titles[j])
+            if s >= threshold:
+                u, v = sorted((t, b.titles[j]))
+                yield u, v, s

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.similarity import similar_titles
+from refloom.functions.similarity import alike_within
 from refloom.functions.text import blank, normal_title, strip, umlauts_out
 
+BLOCK = 2000  # titles of a paper that are compared with as many others in one unit of work
+
 
 def unique_entries(entries: DataFrame) -> DataFrame:
     """One row for each (doc_id, key): the last entry's fields at the first entry's place."""
@@ -27,28 +32,52 @@ def cross_check(citations: DataFrame, entries: DataFrame) -> DataFrame:
     return g.select("doc_id", "key", F.when(F.col("b") == 0, "missing").when(F.col("c") == 0, "orphan").otherwise("ok").alias("class"))
 
 
+def title_pairs(titles: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``doc_id, title_a, title_b, similarity`` of all pairs of different normal titles of a paper that are alike.
+
+    Exact. A paper's titles are dealt into blocks of about ``BLOCK``; each pair
+    of blocks is one unit of work, so that a paper with a tenth of all entries
+    is spread over many tasks and no task holds more than two blocks. A unit
+    bounds all its pairs at once (``similarity.alike_within``) and lets out
+    the alike ones only.
+    """
+    t = titles.where("t IS NOT NULL AND t != ''").select("doc_id", "t").distinct()
+    size = t.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    t = t.join(size, "doc_id").withColumn("b", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    units = t.select("doc_id", "t", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("doc_id", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "t")
+    mine = lambda c: F.sort_array(F.collect_list(F.when(F.col("b") == F.col(c), F.col("t"))))
+    units = units.groupBy("doc_id", "lo", "hi").agg(mine("lo").alias("left"), mine("hi").alias("right")).where("size(left) + size(right) > 1")
+    kind = titles.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, *x) for d, lo, hi, u, v in zip(b["doc_id"], b["lo"], b["hi"], b["left"], b["right"], strict=True) for x in alike_within(list(u), None if lo == hi else list(v), threshold)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "title_a", "title_b", "similarity"])
+
+    return units.mapInPandas(run, f"doc_id {kind}, title_a string, title_b string, similarity double")
+
+
 def duplicate_pairs(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``doc_id, title_a, title_b, similarity``: pairs of different normal titles of one paper that are alike.
-
-    Entries of the same normal title are one class (similarity 1); classes are
-    paired, so that a bibliography with many copies yields no pairs of copies.
-    Candidates share a rare word or the first or last four letters of one:
-    each title files its rarest words (in its paper) until they make up 40 % of its
-    letters and looks up all of its words, so that titles within the threshold
-    by shared words always meet. Blank titles match nothing.
+    """``doc_id, key_a, key_b, title_a, title_b, similarity, type``: classes of entries of a paper with alike titles.
+
+    Keys are unique in a paper (the last entry of a key counts). Entries of one
+    normal title are one class; a row pairs the first keys of two classes, or
+    gives one class of several keys with its first and last key. So a title
+    copied a thousand times yields one row, not all pairs of copies; with
+    ``duplicate_classes`` nothing is lost. From .97 on the type is exact.
     """
-    t = entries.select("doc_id", normal_title(F.col("title")).alias("t")).where("t != ''").distinct()
-    w = t.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    n = w.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    ranked = w.join(n, ["doc_id", "w"]).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    letters = F.aggregate("ws", F.lit(0), lambda a, x: a + F.length(x["w"]))
-    before = lambda i: F.aggregate(F.slice("ws", 1, i), F.lit(0), lambda a, x: a + F.length(x["w"]))
-    filed = F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.struct(i.alias("i"), F.get("ws", i)["w"].alias("w"))), lambda x: before(x["i"]) <= letters * 0.4), lambda x: x["w"])
-    marks = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda x: F.array(x, F.concat(F.lit("^"), F.substring(x, 1, 4)), F.concat(F.lit("$"), F.right(x, F.lit(4)))))))
-    own = ranked.select("doc_id", "t", F.explode(marks(filed)).alias("m"))
-    every = ranked.select("doc_id", F.col("t").alias("u"), F.explode(marks(F.transform("ws", lambda x: x["w"]))).alias("m"))
-    pairs = own.join(every, ["doc_id", "m"]).where("t != u").select("doc_id", F.least("t", "u").alias("title_a"), F.greatest("t", "u").alias("title_b")).distinct()
-    return pairs.withColumn("similarity", similar_titles(threshold)("title_a", "title_b")).where(F.col("similarity") >= threshold)
+    u = unique_entries(entries.select("doc_id", "key", "ord", "title")).withColumn("t", normal_title(F.col("title"))).where("t != ''")
+    c = u.groupBy("doc_id", "t").agg(F.min("key").alias("k"), F.max("key").alias("z"), F.min_by("title", "key").alias("title"), F.max_by("title", "key").alias("last"))
+    same = c.where("k != z").select("doc_id", F.col("k").alias("key_a"), F.col("z").alias("key_b"), F.col("title").alias("title_a"), F.col("last").alias("title_b"), F.lit(1.0).alias("similarity"))
+    pairs = title_pairs(c, threshold)
+    for s in "ab":
+        pairs = pairs.join(c.select("doc_id", F.col("t").alias(f"title_{s}"), F.col("k").alias(f"k_{s}"), F.col("title").alias(f"x_{s}")), ["doc_id", f"title_{s}"])
+    flip = F.col("k_a") > F.col("k_b")
+    pick = lambda c, first: F.when(flip == F.lit(first), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    across = pairs.select("doc_id", pick("k", True).alias("key_a"), pick("k", False).alias("key_b"), pick("x", True).alias("title_a"), pick("x", False).alias("title_b"), "similarity")
+    both = same.unionByName(across)
+    return both.withColumn("type", F.when(F.col("similarity") >= 0.97, "exact").otherwise("near-duplicate")).withColumn("similarity", F.floor(F.col("similarity") * 100 + 0.5) / 100)
 
 
 def duplicate_classes(entries: DataFrame) -> DataFrame:
@@ -66,7 +95,7 @@ def duplicate_counts(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     u = unique_entries(entries.select("doc_id", "key", "ord", "title"))
     n = u.select("doc_id", normal_title(F.col("title")).alias("t")).where("t != ''").groupBy("doc_id", "t").agg(F.count("*").alias("n"))
     inside = n.where("n > 1").select("doc_id", F.expr("n * (n - 1) div 2").alias("p"))
-    across = duplicate_pairs(u, threshold).join(n.select("doc_id", F.col("t").alias("title_a"), F.col("n").alias("na")), ["doc_id", "title_a"])
+    across = title_pairs(n, threshold).join(n.select("doc_id", F.col("t").alias("title_a"), F.col("n").alias("na")), ["doc_id", "title_a"])
     across = across.join(n.select("doc_id", F.col("t").alias("title_b"), F.col("n").alias("nb")), ["doc_id", "title_b"]).select("doc_id", (F.col("na") * F.col("nb")).alias("p"))
     return inside.unionByName(across).groupBy("doc_id").agg(F.sum("p").alias("n_duplicates"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from refloom.functions import text as X
 from refloom.operators import crosscheck, entries, lookup, packed_values, sections, validate, verdict
-from refloom.plans import audit, synth
+from refloom.plans import audit, oracle, synth
+from refloom.plans.oracle import CROSS, E, MISSING, V
 from refloom.session import table
 
 YEAR = 2025
@@ -64,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     c = F.col
     one = lambda df, *cols: df.select(*cols)
     return {
-        "flagship_paper_score": lambda s, d: one(verdict.scored(counts(s, d)), "doc_id", "n_missing", "n_orphan", "n_incomplete", "n_duplicates", "score", "grade"),
+        "flagship_paper_score": lambda s, d: one(verdict.scored(counts(s, d)), "doc_id", "n_missing", "n_orphan", "n_incomplete", "n_duplicates", "n_fake", "n_style", "score", "grade"),
         "bib_entry_split": lambda s, d: one(entries.split_entries(sections_of(s, d)), "doc_id", "ord", "key"),
         "entry_fields": lambda s, d: one(parsed(s, d), "doc_id", "ord", "key", "entry_type", "authors", "title", "year", "pages", "journal", "booktitle", "volume"),
         "entry_type_counts": lambda s, d: bib(s, d).groupBy("entry_type").agg(F.count("*").alias("n")),
@@ -84,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "missing_fields": lambda s, d: bib(s, d).select("entry_id", F.array_join(validate.missing_fields(), ",").alias("missing")),
         "page_issues": lambda s, d: bib(s, d).select("entry_id", validate.single_dash().alias("single_dash"), F.coalesce(validate.page_span() > 200, F.lit(False)).alias("wide_span")),
         "key_consistency": lambda s, d: bib(s, d).select("entry_id", validate.key_year_ok().alias("year_ok"), validate.key_consistent().isNull().alias("unknown")),
+        "key_verdicts": lambda s, d: bib(s, d).select("entry_id", validate.key_consistent().alias("key_ok")),
         "issue_counts": lambda s, d: issues(s, d).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
         "title_normalise": lambda s, d: bib(s, d).select("entry_id", X.normal_title(c("title")).alias("normal")),
         "cache_key_hash": lambda s, d: bib(s, d).where("title IS NOT NULL AND title != ''").select("entry_id", X.cache_key(c("title"), c("authors")).alias("hash")),
@@ -99,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verdict_counts": lambda s, d: verdict.verdict_counts(screened(s, d), "doc_id"),
         "verdict_counts_status": lambda s, d: ver(s, d).groupBy("doc_id").agg(F.count_if(c("status") == "verified").alias("n_verified"), F.count_if(c("status") == "error").alias("n_error")),
         "verification_overlay": lambda s, d: one(verdict.overlay(keyed_results(s, d), screened(s, d)), "doc_id", "key", "status", "verdict"),
+        "paper_deductions": lambda s, d: verdict.scored(counts(s, d)).select("doc_id", F.inline("deductions")).select("doc_id", "category", F.col("count").alias("n"), "deduction"),
         "paper_summary": counts,
         "fallback_verdict": lambda s, d: one(verdict.overall(counts(s, d)), "doc_id", "score", "grade", "verdict"),
         "batch_ranking": lambda s, d: one(verdict.batch_order(verdict.scored(counts(s, d)).withColumn("ord", c("doc_id"))), "doc_id", "score"),
@@ -108,31 +111,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-E = "e AS (SELECT * FROM bib_entries QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at) = 1)"
-V = "v AS (SELECT * FROM verifications QUALIFY row_number() OVER (PARTITION BY verification_id ORDER BY loaded_at) = 1)"
-CROSS = """x AS (SELECT coalesce(c.doc_id, b.doc_id) doc_id, coalesce(c.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' WHEN c.key IS NULL THEN 'orphan' ELSE 'ok' END AS class
- FROM (SELECT DISTINCT doc_id, key FROM citations) c FULL OUTER JOIN (SELECT DISTINCT doc_id, key FROM e) b ON c.doc_id = b.doc_id AND c.key = b.key)"""
 NAMES = "['Meier','Kowalski','Duarte','Larsen','Novak','Fischer','Okafor']"
 TRUTH = f"""t AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ord,
  {NAMES}[l_suppkey % 7 + 1] AS surname, 'Wasser und Boden ' || (l_partkey % 97) AS title, year(l_shipdate) AS y, l_returnflag AS f, l_partkey % 300 + 1 AS lo, l_partkey % 300 + 1 + CAST(trunc(l_quantity) AS INT) * 5 AS hi FROM lineitem),
  k AS (SELECT *, substr(surname, 1, 2) || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS key, CASE f WHEN 'A' THEN 'article' WHEN 'N' THEN 'proceedings' ELSE 'book' END AS kind FROM t)"""
-KIND = "CASE WHEN entry_type IN ('book','article','proceedings','inproceedings','website','misc') THEN entry_type ELSE 'unknown' END"
-MISSING = "list_filter([" + ", ".join(
-    f"CASE WHEN coalesce({f}, '') = '' AND {KIND} IN ({', '.join(repr(k) for k, v in validate.REQUIRED.items() if f in v.split())}) THEN '{f}' END" for f in ("authors", "title", "publisher", "journal", "booktitle", "url", "urldate", "year", "pages")
-) + "], lambda x: x IS NOT NULL)"
-COUNTS = f"""{E}, {CROSS}, n AS (SELECT doc_id, count(*) FILTER (class = 'missing') AS n_missing, count(*) FILTER (class = 'orphan') AS n_orphan, count(*) FILTER (class = 'ok') AS n_ok FROM x GROUP BY doc_id)"""
-FOLD = "replace(replace(replace(replace(lower(coalesce(title, '')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
-
-
-NORMAL = (
-    "array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(" + FOLD + r""", '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '[{}]', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains("""
-    + str(X.TITLE_STOP) + ", w)), ' ')"
-)
+NORMAL = oracle.normal("title")
 
 
 def oracle_sql() -> dict[str, str]:
     sel = lambda cls: f"WITH {E}, {CROSS} SELECT doc_id, key FROM x WHERE class = '{cls}'"
-    return {
+    return oracle.sql(YEAR) | {
         "bib_entry_split": f"WITH {TRUTH} SELECT doc_id, ord, key FROM k",
         "entry_fields": f"""WITH {TRUTH} SELECT doc_id, ord, key, kind AS entry_type, surname || ', A.' AS authors, title, CAST(y AS VARCHAR) AS year,
  CASE WHEN kind <> 'book' THEN lo || CASE WHEN ord % 2 = 0 THEN '-' ELSE '--' END || hi END AS pages, CASE WHEN kind = 'article' THEN 'Hydrologie' END AS journal,

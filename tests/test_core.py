@@ -96,22 +96,34 @@ def test_similarity_is_symmetric_and_lcs_right(a, b):
     assert 0 <= similarity.token_set(a, b) <= 1
 
 
-def test_duplicates_against_brute_force(spark):
+def test_duplicates_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     words = "water soil river model study method basin flow sediment archive".split()
     titles = [" ".join(rng.sample(words, rng.randint(2, 6))) for _ in range(60)]
     titles += [t.replace("e", "a", 1) for t in titles[:20]] + ["", None]
-    rows = [{"doc_id": 1, "ord": i, "key": "K", "title": t} for i, t in enumerate(titles)]
-    got = {(r["title_a"], r["title_b"]) for r in crosscheck.duplicate_pairs(bib(spark, *rows)).collect()}
-    want = {(a, b) for a, b in itertools.combinations(sorted({t for t in titles if t}), 2) if similarity.token_set(a, b) >= 0.85}
-    assert got <= want
-    assert len(got) >= 0.97 * len(want)
+    rows = [{"doc_id": d, "ord": i, "key": f"K{i:03}", "title": t} for d in (1, 2) for i, t in enumerate(titles)]
+    want = {(d, a, b) for d in (1, 2) for a, b in itertools.combinations(sorted({t for t in titles if t}), 2) if similarity.token_set(a, b) >= 0.85}
+    n = bib(spark, *rows).select("doc_id", F.col("title").alias("t"))
+    assert {(r["doc_id"], r["title_a"], r["title_b"]) for r in crosscheck.title_pairs(n).collect()} == want
+    # blocks of a few titles give the same pairs
+    monkeypatch.setattr(crosscheck, "BLOCK", 7)
+    assert sorted((r["doc_id"], r["title_a"], r["title_b"]) for r in crosscheck.title_pairs(n).collect()) == sorted(want)
+
+
+def test_duplicate_pairs_have_keys(spark):
+    rows = [{"doc_id": 1, "ord": i, "key": k, "title": t} for i, (k, t) in enumerate([("B", "Slow rivers north"), ("A", "Slow rivers, north"), ("C", "Slow river north"), ("D", "Archives"), ("D", None), ("E", "")])]
+    got = sorted(tuple(r) for r in crosscheck.duplicate_pairs(bib(spark, *rows)).select("key_a", "key_b", "similarity", "type").collect())
+    assert got == [("A", "B", 1.0, "exact"), ("A", "C", 0.97, "near-duplicate")]
+    assert crosscheck.duplicate_pairs(bib(spark, *rows).limit(0)).count() == 0
 
 
 @given(st.lists(st.text("abé ", max_size=16), min_size=2, max_size=8), st.sampled_from([0.5, 0.85, 0.97]))
-def test_letter_counts_lose_no_pair(titles, threshold):
-    a, b = map(list, zip(*itertools.product(titles, titles), strict=True))
-    assert all(m for x, y, m in zip(a, b, similarity.may_reach(a, b, threshold), strict=True) if similarity.token_set(x, y) >= threshold)
+def test_bounds_lose_no_pair(titles, threshold):
+    own = sorted({" ".join(t.split()) for t in titles})
+    want = {(x, y, similarity.token_set(x, y)) for x, y in itertools.combinations(own, 2) if similarity.token_set(x, y) >= threshold}
+    assert set(similarity.alike_within(own, None, threshold)) == want
+    half = len(own) // 2
+    assert set(similarity.alike_within(own[:half], own[half:], threshold)) == {w for w in want if (w[0] in own[:half]) != (w[1] in own[:half])}
 
 
 def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
