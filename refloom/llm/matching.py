@@ -6,12 +6,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refloom.functions.similarity import lcs
 from refloom.llm.variants import bound, digraphs, distance, fold, tokens
 from refloom.operators.packed_values import EMPTY, segment
 from refloom.session import cut, width
@@ -30,20 +32,46 @@ NUMBERED = frozenset("teil part partie parte band volume vol tome tomo book chap
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 
 
+def alike(a: str, b: str, most: int) -> bool:
+    """Whether two words are within ``most`` edits; each edit changes at most two of the letters that only one of them has."""
+    return abs(len(a) - len(b)) <= most and len(set(a) ^ set(b)) <= 2 * most and distance(a, b, most) <= most
+
+
+@lru_cache(1 << 16)
+def endings(word: str) -> tuple[tuple[str, ...], ...]:
+    """The sequel phrases that can end in a word or a misspelling of it."""
+    return tuple(s for s in SEQUELS if alike(word, s[-1], min(2, bound(len(s[-1])) + (len(s[-1]) > 3))))
+
+
+@lru_cache(1 << 16)
+def numbered(word: str) -> bool:
+    return any(alike(word, x, 1) for x in NUMBERED)
+
+
 def sequel(words: list[str]) -> tuple[list[str], str]:
     """A title's words without a sequel's mark at the end, and the mark."""
     w = list(words)
-    if w and w[-1].rstrip("s") in ROMAN and len(w) > 1:
-        return w[:-1], ROMAN[w[-1].rstrip("s")]
-    if len(w) > 2 and re.fullmatch(r"\d\d?s?", w[-1]) and any(distance(w[-2], x, 1) <= 1 for x in NUMBERED):
-        return w[:-2], w[-1].rstrip("s")
-    for s in SEQUELS:
+    if len(w) < 2:
+        return w, ""
+    last = w[-1]
+    if last.rstrip("s") in ROMAN:
+        return w[:-1], ROMAN[last.rstrip("s")]
+    if len(w) > 2 and last[0].isdigit() and re.fullmatch(r"\d\d?s?", last) and numbered(w[-2]):
+        return w[:-2], last.rstrip("s")
+    for s in endings(last):
         k = len(s)
-        if len(w) > k and all(abs(len(a) - len(b)) < 3 and distance(a, b, 2) <= min(2, bound(len(b)) + (len(b) > 3)) for a, b in zip(w[-k:], s, strict=True)):
+        if len(w) > k and all(alike(a, b, min(2, bound(len(b)) + (len(b) > 3))) for a, b in zip(w[-k:-1], s, strict=False)):
             return w[:-k], s[-1]
     return w, ""
 
 
+@lru_cache(1 << 16)
+def split_title(title: str) -> tuple[tuple[str, ...], str, str]:
+    """A title's content words, its letters in a row, and the mark of a sequel."""
+    base, mark = sequel(title.split())
+    return tuple(w for w in base if w not in STOP) or tuple(base), digraphs("".join(base)), mark
+
+
 @lru_cache(1 << 16)
 def surnames(authors: str | None) -> tuple[str, ...]:
     """Folded surnames of an author list; of organisations, the last word."""
@@ -68,15 +96,20 @@ def prepared(title: str | None, authors: str | None, year: str | None) -> tuple[
     return " ".join(digraphs(w) for w in tokens(fold(t))), " ".join(surnames(authors)), year_of(year)
 
 
-def key_of(*parts) -> int:
-    """A 64-bit block id, alike in all processes: two checksums of the parts' text."""
-    t = "\x1f".join(map(str, parts)).encode("utf-8", "replace")
-    return (zlib.crc32(t) << 32 | zlib.adler32(t[::-1]) ^ zlib.crc32(t, 0x9E3779B9)) - (1 << 63)
+@lru_cache(1 << 17)
+def word_id(word: str) -> int:
+    """60 bits of a word's hash."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 4
+
+
+@lru_cache(1 << 17)
+def rank(word: str) -> tuple[int, str]:
+    return zlib.crc32(word.encode("utf-8", "replace")), word
 
 
-def least(words: set[str] | list[str], k: int, salt: str) -> list[str]:
+def least(words: set[str] | list[str], k: int) -> list[str]:
     """The words with the ``k`` least hashes (the bottom-k form of MinHash): two sets that share much share some of these."""
-    return sorted(sorted(set(words), key=lambda w: (zlib.crc32((salt + w).encode("utf-8", "replace")), w))[:k])
+    return sorted(sorted(set(words), key=rank)[:k])
 
 
 def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
@@ -91,6 +124,8 @@ def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
     * of titles of one or two words, which many works bear: the title with the year
 
     The right side (``wide``) enters the blocks of the neighbouring years too.
+    A block's id is the hash of a tuple of integers, which all processes
+    compute alike.
     """
     base, _ = sequel(title.split())
     order = [w[:STEM] for w in base if w not in STOP and len(w) > 1] or [w[:STEM] for w in base]
@@ -98,20 +133,21 @@ def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
     if not words:
         return []
     years = ((year - 1, year, year + 1) if wide else (year,)) if year else ()
-    mins, own = least(words, TITLE_MINS, "t"), least(names.split(), NAME_MINS, "n")
+    mins, own = least(words, TITLE_MINS), least(names.split(), NAME_MINS)
+    order, words, mins, own = ([word_id(w) for w in x] for x in (order, words, mins, own))
     pairs = [(a, b) for i, a in enumerate(mins) for b in mins[i + 1 :]] or [tuple(mins)]
-    out = [key_of(1, s, *p) for s in own for p in pairs]
+    out = [hash((1, s, *p)) for s in own for p in pairs]
     if len(own) > 1:
-        out += [key_of(2, y, *own) for y in years]
+        out += [hash((2, y, *own)) for y in years]
     if len(words) < 3:
-        out += [key_of(3, y, *words) for y in years]
+        out += [hash((3, y, *words)) for y in years]
         return list(set(out))
-    out.append(key_of(4, *words))
+    out.append(hash((4, *words)))
     if len(words) > 3:
-        out += [key_of(4, *words[:i], *words[i + 1 :]) for i in range(len(words))]
+        out += [hash((4, *words[:i], *words[i + 1 :])) for i in range(len(words))]
     whole, part = (6, 5) if wide else (5, 6)
-    out.append(key_of(whole, *order))
-    out += [key_of(part, *order[:i]) for i in range(2, len(order) + 1)]
+    out.append(hash((whole, *order)))
+    out += [hash((part, *order[:i])) for i in range(2, len(order) + 1)]
     return list(set(out))
 
 
@@ -124,7 +160,7 @@ def same_word(a: str, b: str) -> bool:
     if len(short) >= 3 and long.startswith(short) and len(long) - len(short) > 1:
         return True
     n = min(bound(len(a)), bound(len(b)))
-    return bool(n) and distance(a, b, n) <= n
+    return bool(n) and alike(a, b, n)
 
 
 FEATURES = ("bias", "exact", "swapped", "missing", "sequel", "overlap", "no_authors", "conflict", "same_year", "near_year", "far_year", "no_year", "short", "short_no_authors", "missing_far", "short_conflict", "long_exact", "other_part", "other_words", "other_authors", "namesake")
@@ -132,25 +168,33 @@ FEATURES = ("bias", "exact", "swapped", "missing", "sequel", "overlap", "no_auth
 
 def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float]:
     """Similarity of a pair; see ``FEATURES``."""
-    (a, s1), (b, s2) = sequel(t1.split()), sequel(t2.split())
-    ja, jb = digraphs("".join(a)), digraphs("".join(b))
+    (ca, ja, s1), (cb, jb, s2) = split_title(t1), split_title(t2)
     exact = ja == jb
-    close = exact or (len(ja) > 20 and distance(ja, jb, 3) <= 3)
-    ca, cb = [w for w in a if w not in STOP] or a, [w for w in b if w not in STOP] or b
-    left = list(cb)
-    lost = 0
-    for w in ca:
-        hit = next((x for x in left if x == w), None) or next((x for x in left if same_word(w, x)), None)
-        if hit is None:
-            lost += 1
-        else:
-            left.remove(hit)
+    # three edits need at most six letters more or less than the longest common run of letters in order
+    close = exact or (len(ja) > 20 and abs(len(ja) - len(jb)) <= 3 and len(ja) + len(jb) - 2 * lcs(ja, jb) <= 6 and distance(ja, jb, 3) <= 3)
     if close:
-        lost, left = 0, []
-    swapped, missing = min(lost, len(left)), abs(lost - len(left)) / max(len(ca), len(cb), 1)
+        lost = extra = 0
+    else:
+        left = list(cb)
+        rest = []
+        for w in ca:
+            if w in left:
+                left.remove(w)
+            else:
+                rest.append(w)
+        lost = 0
+        for w in rest:
+            hit = next((x for x in left if same_word(w, x)), None)
+            if hit is None:
+                lost += 1
+            else:
+                left.remove(hit)
+        extra = len(left)
+    swapped, missing = min(lost, extra), abs(lost - extra) / max(len(ca), len(cb), 1)
     u, v = n1.split(), n2.split()
     small, big = (u, v) if len(u) <= len(v) else (v, u)
-    hits = sum(any(same_word(x, y) for y in big) for x in small)
+    own = set(big)
+    hits = sum(x in own or any(same_word(x, y) for y in big) for x in small)
     overlap = hits / len(small) if small else 0.0
     both = bool(u and v)
     dy = abs(y1 - y2) if y1 and y2 else -1

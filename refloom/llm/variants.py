@@ -20,6 +20,9 @@ SHARD = 2_000  # words of one length that one task looks up in a trie
 SLIPS = 0.04  # share of uses of a surname that are misspelt
 STROKES = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 ACCENT = re.compile(r"\{?\\([\"'`^~=.]|[uvHcdb](?=[\s{]))\s*\{?\\?([A-Za-z])\}?\}?")
+WORDS = re.compile(r"[^\W_]+")
+APOSTROPHES = re.compile(r"['’‘`]")
+ABBREVIATED = re.compile(r"\barb\.?-gr\b")
 PIECES = re.compile(r"\S+|\s+")
 MACROS = {"\\aa": "å", "\\AA": "Å", "\\o": "ø", "\\O": "Ø", "\\l": "ł", "\\L": "Ł", "\\ss": "ß", "\\ae": "æ", "\\AE": "Æ"}
 
@@ -45,7 +48,9 @@ def fold(text: str) -> str:
 
 def tokens(folded: str) -> list[str]:
     """Words of a folded name; apostrophes belong to the word, hyphens part words."""
-    return re.findall(r"[^\W_]+", re.sub(r"['’‘`]", "", re.sub(r"\barb\.?-gr\b", "arbgr", folded)))
+    if "arb" in folded:
+        folded = ABBREVIATED.sub("arbgr", folded)
+    return WORDS.findall(APOSTROPHES.sub("", folded))
 
 
 def bound(length: int) -> int:
@@ -53,28 +58,61 @@ def bound(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
 
+DIGRAPH = re.compile(r"([aou])e(?=[^\Waeiouy])")
+
+
+@lru_cache(1 << 17)
 def digraphs(word: str) -> str:
     """The word with ae, oe, ue as a, o, u, so that both ways to write an umlaut agree."""
-    return re.sub(r"([aou])e(?=[^\Waeiouy])", r"\1", word)
+    return DIGRAPH.sub(r"\1", word)
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits from one word to another (insert, delete, replace, swap of neighbours), or ``most`` + 1 if more."""
-    if abs(len(a) - len(b)) > most:
+    """Edits from one word to another (insert, delete, replace, swap of neighbours), or ``most`` + 1 if more.
+
+    Without what both begin and end with, and along the diagonals that ``most`` edits can reach.
+    """
+    if a == b:
+        return 0
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
+    k = 0
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    while n > k and m > k and a[n - 1] == b[m - 1]:
+        n -= 1
+        m -= 1
+    a, b, n, m = a[k:n], b[k:m], n - k, m - k
+    if not n or not m:
+        return min(max(n, m), most + 1)
+    far = most + 1
     before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        new = [i]
-        for j, d in enumerate(b, 1):
-            x = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d))
-            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
-                x = min(x, before[j - 2] + 1)
-            new.append(x)
-        if min(new) > most:
-            return most + 1
+    row = [min(j, far) for j in range(m + 1)]
+    for i in range(1, n + 1):
+        c = a[i - 1]
+        lo, hi = max(1, i - most), min(m, i + most)
+        new = [far] * (m + 1)
+        if lo == 1:
+            new[0] = min(i, far)
+        least = new[0]
+        for j in range(lo, hi + 1):
+            d = b[j - 1]
+            x = row[j - 1] + (c != d)
+            if row[j] < x:
+                x = row[j] + 1
+            if new[j - 1] < x:
+                x = new[j - 1] + 1
+            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d and before[j - 2] < x:
+                x = before[j - 2] + 1
+            if x < far:
+                new[j] = x
+                if x < least:
+                    least = x
+        if least > most:
+            return far
         before, row = row, new
-    return row[-1]
+    return row[m]
 
 
 class Trie:
