@@ -105,3 +105,75 @@ def author_overlap(cited: Column, correct: Column) -> Column:
     hits = F.size(F.filter(first, lambda s: F.exists(b, lambda x: F.contains(x, s) | F.contains(s, x))))
     enough = ~blank(cited) & ~blank(correct) & (F.size(a) >= 2) & (F.size(author_surnames(correct)) >= 2)
     return F.when(enough, hits / F.size(first))
+
+
+def keyword_coverage(title: Column, text: Column) -> Column:
+    """Share of a title's distinct words of more than three letters that a text contains; 0 for titles without such words."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+"), lambda w: F.length(w) > 3))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w)))
+    return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
+
+
+def url_quote(c: Column) -> Column:
+    """Percent-encoding of a path: letters, digits, ``_.-~`` and the slash stay."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def author_list(c: Column) -> Column:
+    """``array<struct<family,given>>`` as "Family, Given; ...": of the first ten those with a family name; null if none is left."""
+    first = F.filter(F.slice(c, 1, 10), lambda a: ~blank(a["family"]))
+    return F.nullif(F.array_join(F.transform(first, lambda a: F.regexp_replace(F.concat(a["family"], F.lit(", "), F.coalesce(a["given"], F.lit(""))), r"^[, ]+|[, ]+$", "")), "; "), F.lit(""))
+
+
+def repository(url: Column) -> Column:
+    """``struct<owner,name>`` of the address of a code repository, else null."""
+    p = r"^https?://github\.com/([^/\s]+)/([^/\s#?]+)"
+    u = F.rtrim(url, F.lit("/"))
+    return F.when(u.rlike(p), F.struct(F.regexp_extract(u, p, 1).alias("owner"), F.replace(F.regexp_extract(u, p, 2), F.lit(".git"), F.lit("")).alias("name")))
+
+
+def forum_id(url: Column) -> Column:
+    """The id in the address of a review forum, else null."""
+    return F.when(F.contains(url, F.lit("openreview.net")), first_match(url, r"[?&]id=([A-Za-z0-9_\-]+)"))
+
+
+def html_titles(html: Column) -> Column:
+    """Titles of a page of search results, without markup and blank ones."""
+    hits = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'class="gs_rt"[^>]*>(?:<[^>]+>)*([^<]+)'), F.lit(1))
+    return F.filter(F.transform(hits, lambda t: strip(F.regexp_replace(t, "<[^>]+>", ""))), lambda t: t != "")
+
+
+def html_snippets(html: Column) -> Column:
+    """The first three snippets of a page of search results, without markup."""
+    hits = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?s)class="result__snippet"[^>]*>(.*?)</a>'), F.lit(1))
+    return F.transform(F.slice(hits, 1, 3), lambda t: strip(F.regexp_replace(t, "<[^>]+>", "")))
+
+
+def reply_json(c: Column) -> Column:
+    """The JSON text of a model's reply: the first line and the last one gone where they fence it."""
+    t = strip(c)
+    t = F.when(t.startswith("```"), F.regexp_replace(t, r"^[^\n]*\n?", "")).otherwise(t)
+    t = F.when(t.endswith("```"), F.regexp_replace(t, r"(?:^|\n)[^\n]*$", "")).otherwise(t)
+    return strip(t)
+
+
+def line_chunks(c: Column, whole: int = 6000, least: int = 3000) -> Column:
+    """A text in chunks of whole lines: one chunk up to ``whole`` characters, else each closed by the line with which it holds ``least`` or more."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"), F.lit(False).alias("open"))
+
+    def step(a: Column, line: Column) -> Column:
+        now = F.when(a["open"], F.concat(a["now"], F.lit("\n"), line)).otherwise(line)
+        size = a["size"] + F.length(line)
+        full = size >= least
+        return F.struct(F.when(full, F.concat(a["done"], F.array(now))).otherwise(a["done"]).alias("done"), F.when(full, "").otherwise(now).alias("now"), F.when(full, 0).otherwise(size).alias("size"), (~full).alias("open"))
+
+    cut = F.aggregate(F.split(c, "\n"), start, step, lambda a: F.when(a["open"], F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    return F.when(F.length(c) > whole, cut).otherwise(F.array(c))
+
+
+def list_chunks(c: Column, size: int) -> Column:
+    """An array in pieces of ``size``."""
+    return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / size).cast("int")), lambda i: F.slice(c, i * size + 1, F.lit(size)))).otherwise(F.slice(F.array(c), 1, 0))

@@ -107,3 +107,9 @@ def self_citations(docs: DataFrame, entries: DataFrame, text: str = "body") -> D
     j = entries.where(~blank(F.col("authors"))).select("doc_id", "key", names.alias("names")).join(docs.select("doc_id", words.alias("words")), "doc_id")
     hit = F.get(F.filter("names", lambda n: (F.length(n) > 3) & F.array_contains(F.col("words"), umlauts_out(n))), F.lit(0))
     return j.select("doc_id", "key", hit.alias("matched_author")).where("matched_author IS NOT NULL")
+
+
+def key_lists(crossed: DataFrame) -> DataFrame:
+    """``doc_id, cited_not_in_bib, in_bib_not_cited, correctly_used``: each paper's keys of the three classes in order."""
+    of = lambda c: F.array_sort(F.collect_set(F.when(F.col("class") == c, F.col("key"))))
+    return crossed.groupBy("doc_id").agg(of("missing").alias("cited_not_in_bib"), of("orphan").alias("in_bib_not_cited"), of("ok").alias("correctly_used"))

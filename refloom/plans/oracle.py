@@ -150,12 +150,55 @@ FALLBACK = f"CAST(greatest(100 - {_lost(verdict.FALLBACK)}, 0) AS INT)"
 GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END"
 
 
+def lookups() -> str:
+    """CTEs that end in ``res``: recorded results of each entry and source, scored by the source's rules."""
+    from refloom.operators.lookup import BEST_OF, EXACT, SOURCES
+
+    n = len(SOURCES)
+    exact_status = " ".join(f"WHEN source = '{k}' AND http_status = 200 THEN CASE WHEN sim2 >= {f} THEN 'verified' ELSE 'partial_match' END" for k, (_, f) in EXACT.items())
+    exact_conf = " ".join(f"WHEN source = '{k}' AND http_status = 200 THEN greatest(sim2, {m})" for k, (m, _) in EXACT.items())
+    best = "source IN (" + ", ".join(map(repr, BEST_OF)) + ")"
+    first = f"lower({strip('string_split(string_split(cited_authors, chr(59))[1], chr(44))[1]')})"
+    return f"""{E}, {V}, le AS (SELECT doc_id, key, max_by({{'t': title, 'a': authors, 'u': url, 'd': doi, 'i': isbn, 'k': entry_type}}, ord) AS r FROM e GROUP BY doc_id, key),
+lh AS (SELECT *, {SOURCES!r}[(((verification_id % {n}) + {n}) % {n}) + 1] AS source, CASE status WHEN 'error' THEN 500 WHEN 'not_found' THEN 404 ELSE 200 END AS http_status, lower(concat_ws(' ', matched_title, correct_authors)) AS snippet,
+ row_number() OVER (PARTITION BY doc_id, key, verification_id % {n} ORDER BY verification_id) AS hit_rank FROM v),
+lj AS (SELECT le.doc_id, le.key, r.t AS cited, r.a AS cited_authors, r.u AS url, coalesce(r.k, '') AS kind, coalesce(r.t, '') = '' AND coalesce(r.d, '') = '' AND coalesce(r.i, '') = '' AS nothing,
+ lh.source, lh.hit_rank, lh.http_status, lh.matched_title, lh.correct_authors, lh.doi, lh.open_access_url, lh.snippet, {normal('r.t')} AS a, {normal('lh.matched_title')} AS b FROM le JOIN lh ON le.doc_id = lh.doc_id AND le.key = lh.key),
+lt0 AS (SELECT * FROM lj WHERE kind <> 'website' AND NOT nothing AND source NOT IN ('web', 'repository', 'url')),
+{similar('lt0', 'lt1', 'true')},
+lt2 AS (SELECT * FROM lt1 QUALIFY row_number() OVER (PARTITION BY doc_id, key, source ORDER BY CASE WHEN {best} THEN -sim ELSE 0.0 END, hit_rank) = 1),
+lt3 AS (SELECT *, CASE WHEN source = 'open_library' AND coalesce(cited_authors, '') <> '' AND coalesce(correct_authors, '') <> '' AND sim >= 0.5 AND NOT contains(lower(correct_authors), {first}) THEN greatest(0.0, sim - 0.15) WHEN {best} THEN round_even(sim, 2) ELSE sim END AS sim2 FROM lt2),
+lw AS (SELECT doc_id, key, any_value(cited) AS cited, max(http_status) AS http_status, string_agg(snippet, ' ' ORDER BY hit_rank) AS s, arg_min(snippet, hit_rank) AS s1 FROM lj WHERE source = 'web' AND hit_rank <= 3 AND kind <> 'website' AND NOT nothing GROUP BY doc_id, key),
+lw1 AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(cited, '')), '{SPACE}+'), lambda q: length(q) > 3)) AS ws FROM lw),
+lw2 AS (SELECT *, CASE WHEN len(ws) > 0 THEN round_even(len(list_filter(ws, lambda q: contains(lower(coalesce(s, '')), q))) / len(ws), 4) ELSE 0.0 END AS c FROM lw1),
+la AS (SELECT doc_id, key, source, url, CASE WHEN http_status = 500 THEN 'error' WHEN http_status < 400 THEN 'verified' ELSE 'not_found' END AS status FROM lj WHERE kind = 'website' AND hit_rank = 1 AND (source = 'url' OR source = 'repository' AND regexp_matches(rtrim(url, '/'), '^https?://github\\.com/[^/\\s]+/[^/\\s#?]+'))),
+res AS (SELECT doc_id, key, source, CASE WHEN http_status >= 400 THEN 'error' WHEN matched_title IS NULL AND source NOT IN ({', '.join(map(repr, EXACT))}) THEN 'not_found' {exact_status} WHEN sim2 >= 0.75 THEN 'verified' WHEN sim2 >= 0.4 THEN 'partial_match' ELSE 'not_found' END AS status,
+ CASE WHEN http_status >= 400 OR matched_title IS NULL AND source NOT IN ({', '.join(map(repr, EXACT))}) THEN 0.0 {exact_conf} ELSE sim2 END AS confidence, matched_title, open_access_url, NULL::VARCHAR AS web_evidence FROM lt3
+ UNION ALL SELECT doc_id, key, 'web', CASE WHEN http_status <> 200 THEN 'error' WHEN c >= 0.85 THEN 'verified' WHEN c >= 0.7 THEN 'partial_match' ELSE 'not_found' END, CASE WHEN http_status <> 200 THEN 0.0 ELSE round_even(c, 2) END, NULL, NULL, CASE WHEN http_status = 200 AND c >= 0.7 THEN substr(s1, 1, 150) END FROM lw2
+ UNION ALL SELECT doc_id, key, source, status, CASE WHEN status = 'verified' THEN 1.0 ELSE 0.0 END, NULL, CASE WHEN status = 'verified' THEN url END, NULL FROM la
+ UNION ALL SELECT doc_id, key, 'none', 'error', 0.0, NULL, NULL, NULL FROM le WHERE coalesce(r.k, '') <> 'website' AND coalesce(r.t, '') = '' AND coalesce(r.d, '') = '' AND coalesce(r.i, '') = '')"""
+
+
 def sql(this_year: int) -> dict[str, str]:
     """Query name -> SQL."""
     base = f"WITH {E}, {V}, {UNIQUE}"
     whole = f"WITH {summary(this_year)}"
     deductions = ", ".join(f"{{'category': '{c}', 'n': {c}, 'd': least({c} * {w}, {m})}}" for c, w, m in verdict.PENALTIES)
+    from refloom.operators.lookup import SOURCES
+
+    rank = "row_number() OVER (PARTITION BY doc_id, key ORDER BY CASE status WHEN 'verified' THEN 3 WHEN 'partial_match' THEN 2 WHEN 'not_found' THEN 1 ELSE 0 END DESC, confidence DESC, coalesce(list_position(" + repr(SOURCES) + ", source), 99))"
+    hash_ = rf"""substr(sha256({strip(f"regexp_replace(regexp_replace(lower(title), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}_{SPACE[1:-1]}]', '', 'g'), '{SPACE}+', ' ', 'g')")} || '|' || lower({strip("string_split(string_split(coalesce(authors, ''), ';')[1], ',')[1]")})), 1, 24)"""
+    listed = lambda c, n: f"coalesce(string_agg(key, ',' ORDER BY key) FILTER (class = '{c}'), '') AS {n}"
     return {
+        "lookup_results": f"WITH {lookups()} SELECT doc_id, key, source, status, CAST(floor(confidence * 10000 + 0.5) AS BIGINT) AS confidence_e4, matched_title, open_access_url, web_evidence FROM res",
+        "lookup_fused": f"""WITH {lookups()}, q AS (SELECT *, {rank} AS o FROM res), z AS (SELECT doc_id, key, arg_min(status, o) AS status, arg_min(confidence, o) AS c0, count(*) AS n_sources, count(*) FILTER (status = 'verified') AS n_verified, string_agg(source, ',' ORDER BY o) AS sources FROM q GROUP BY doc_id, key)
+ SELECT doc_id, key, status, CAST(floor((CASE WHEN n_verified >= 2 THEN least(1.0, c0 + 0.05::DOUBLE * (n_verified - 1)) ELSE c0 END) * 10000 + 0.5) AS BIGINT) AS confidence_e4, n_sources, n_verified, sources, CASE WHEN n_verified >= 2 AND status = 'verified' THEN 'Confirmed by ' || n_verified || ' independent sources' END AS note FROM z""",
+        "cache_rows": f"WITH {E}, {V}, {BEST}, ue AS (SELECT doc_id, key, r.t AS title, r.a AS authors FROM (SELECT doc_id, key, max_by({{'t': title, 'a': authors}}, ord) AS r FROM e GROUP BY doc_id, key)), uh AS (SELECT doc_id, key, {hash_} AS hash FROM ue WHERE coalesce(title, '') <> ''), q AS (SELECT uh.hash, uh.doc_id, uh.key, b.status, b.confidence FROM uh JOIN b ON uh.doc_id = b.doc_id AND uh.key = b.key) SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id DESC, key DESC) = 1",
+        "key_lists": f"WITH {E}, {CROSS} SELECT doc_id, {listed('missing', 'cited_not_in_bib')}, {listed('orphan', 'in_bib_not_cited')}, {listed('ok', 'correctly_used')} FROM x GROUP BY doc_id",
+        "all_cited_keys": rf"""WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[({sections.KEY}(?:,\s*{sections.KEY})*)\]', 1)) AS g FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\\(?:[Cc]ite|[Cc]itet|citep)\{{([^}}]+)\}}', 1)) FROM documents),
+ k AS (SELECT doc_id, {strip('k')} AS key FROM (SELECT doc_id, unnest(string_split(g, ',')) AS k FROM g)) SELECT doc_id, key FROM k WHERE key <> '' UNION SELECT doc_id, key FROM citations""",
+        "flagged_references": f"{base}, {SCREEN} SELECT doc_id, key, verdict FROM w WHERE verdict IN ('FAKE', 'SUSPICIOUS')",
+        "status_metrics": "SELECT count(*) AS results_kept, count(DISTINCT hash) AS hashes_kept, count(*) FILTER (status = 'verified') AS verified_kept FROM verification_cache",
         "prescreen_verdict": f"{base}, {SCREEN} SELECT doc_id, key, verdict, confidence FROM w",
         "verdict_counts": f"{base}, {SCREEN} SELECT doc_id, count(*) FILTER (verdict = 'FAKE') AS n_fake, count(*) FILTER (verdict = 'SUSPICIOUS') AS n_suspicious, count(*) FILTER (verdict NOT IN ('FAKE', 'SUSPICIOUS')) AS n_real FROM w GROUP BY doc_id",
         "verification_overlay": f"{base}, {SCREEN} SELECT coalesce(v.doc_id, w.doc_id) AS doc_id, coalesce(v.key, w.key) AS key, CASE verdict WHEN 'REAL' THEN 'verified' WHEN 'FAKE' THEN 'not_found' WHEN 'SUSPICIOUS' THEN 'partial_match' ELSE v.status END AS status, w.verdict FROM v FULL OUTER JOIN w ON v.doc_id = w.doc_id AND v.key = w.key",

@@ -61,6 +61,17 @@ def screened(s: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", "key", v["verdict"].alias("verdict"), v["confidence"].alias("confidence"))
 
 
+def hits_scored(s: SparkSession, d: str) -> DataFrame:
+    e = crosscheck.unique_entries(bib(s, d).select("doc_id", "key", "ord", "title", "authors", "url", "doi", "isbn", "raw_text", "entry_type"))
+    return lookup.score_hits(e, lookup.recorded_hits(ver(s, d)))
+
+
+def all_cited(s: SparkSession, d: str) -> DataFrame:
+    """Keys cited in a paper's text, in brackets or by macro, and those of the citation table."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    return sections.bracket_citations(docs, "text").unionByName(sections.latex_cite_keys(docs)).unionByName(table(s, d, "citations").select("doc_id", "key")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     c = F.col
     one = lambda df, *cols: df.select(*cols)
@@ -97,6 +108,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lookup_status_bands": lambda s, d: ver(s, d).groupBy(X.status_band(c("confidence")).alias("band")).agg(F.count("*").alias("n")),
         "best_source_per_entry": lambda s, d: one(lookup.best_result(ver(s, d), ["doc_id", "key"], "verification_id"), "doc_id", "key", "verification_id", "status", "confidence"),
         "evidence_fusion": lambda s, d: lookup.fuse(keyed_results(s, d), ["doc_id", "key"]).select("doc_id", "key", "status", F.floor(c("confidence") * 10000 + 0.5).alias("confidence_e4"), "doi", "n_sources", "n_verified"),
+        "lookup_results": lambda s, d: hits_scored(s, d).select("doc_id", "key", "source", "status", F.floor(c("confidence") * 10000 + 0.5).alias("confidence_e4"), "matched_title", "open_access_url", "web_evidence"),
+        "lookup_fused": lambda s, d: lookup.full_fusion(hits_scored(s, d), ["doc_id", "key"]).select("doc_id", "key", "status", F.floor(c("confidence") * 10000 + 0.5).alias("confidence_e4"), "n_sources", "n_verified", F.array_join("sources_checked", ",").alias("sources"), "note"),
+        "cache_rows": lambda s, d: lookup.cache_rows(crosscheck.unique_entries(bib(s, d).select("doc_id", "key", "ord", "title", "authors")), lookup.best_result(ver(s, d), ["doc_id", "key"], "verification_id").select("doc_id", "key", "status", "confidence")).select("hash", "doc_id", "key", "status", "confidence"),
+        "key_lists": lambda s, d: crosscheck.key_lists(crossed(s, d)).select("doc_id", *[F.array_join(x, ",").alias(x) for x in ("cited_not_in_bib", "in_bib_not_cited", "correctly_used")]),
+        "all_cited_keys": all_cited,
+        "flagged_references": lambda s, d: screened(s, d).where("verdict IN ('FAKE', 'SUSPICIOUS')").select("doc_id", "key", "verdict"),
+        "status_metrics": lambda s, d: table(s, d, "verification_cache").agg(F.count("*").alias("results_kept"), F.countDistinct("hash").alias("hashes_kept"), F.count_if(c("status") == "verified").alias("verified_kept")),
         "prescreen_verdict": screened,
         "verdict_counts": lambda s, d: verdict.verdict_counts(screened(s, d), "doc_id"),
         "verdict_counts_status": lambda s, d: ver(s, d).groupBy("doc_id").agg(F.count_if(c("status") == "verified").alias("n_verified"), F.count_if(c("status") == "error").alias("n_error")),

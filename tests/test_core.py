@@ -4,7 +4,7 @@ import itertools
 import random
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -178,3 +178,67 @@ def test_bibtex(spark):
 def test_overlap_needs_two_names(spark):
     d = spark.createDataFrame([("A Meier; Bell, C.", "Meier; Bell"), ("Meier", "Meier; Bell"), (None, "x; y")], "a string, b string")
     assert [r[0] for r in d.select(text.author_overlap(F.col("a"), F.col("b"))).collect()] == [1.0, None, None]
+
+
+def cols(spark, value, kind, *exprs):
+    return list(spark.createDataFrame([(value,)], f"v {kind}").select(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
+
+
+def test_small_functions(spark):
+    v = F.col("v")
+    assert cols(spark, "a b/ü~*+", "string", text.url_quote(v)) == ["a%20b/%C3%BC~%2A%2B"]
+    assert cols(spark, [("Meier", "A."), ("", "B."), ("Bell", None)], "array<struct<family:string,given:string>>", text.author_list(v)) == ["Meier, A.; Bell"]
+    assert cols(spark, [], "array<struct<family:string,given:string>>", text.author_list(v)) == [None]
+    r, f = cols(spark, "https://github.com/own/tool.git/tree", "string", text.repository(v), text.forum_id(v))
+    assert (r["owner"], r["name"], f) == ("own", "tool", None)
+    assert cols(spark, "https://openreview.net/forum?id=aB_-1&x", "string", text.forum_id(v)) == ["aB_-1"]
+    assert cols(spark, '<h3 class="gs_rt" x><b><a href="q">Slow rivers</a></h3><h3 class="gs_rt"> </h3>', "string", text.html_titles(v)) == [["Slow rivers"]]
+    assert cols(spark, '<a class="result__snippet" h>the <b>slow</b>\nriver</a>' * 4, "string", F.size(text.html_snippets(v)), F.get(text.html_snippets(v), F.lit(0))) == [3, "the slow\nriver"]
+    assert cols(spark, '```json\n{"a": 1}\n```', "string", text.reply_json(v)) == ['{"a": 1}']
+    assert cols(spark, ' {"a": 1} ', "string", text.reply_json(v)) == ['{"a": 1}']
+    assert cols(spark, list("abcde"), "array<string>", text.list_chunks(v, 2)) == [[["a", "b"], ["c", "d"], ["e"]]]
+    assert cols(spark, [], "array<string>", F.size(text.list_chunks(v, 2))) == [0]
+    assert cols(spark, "Rivers of the slow north", "string", text.keyword_coverage(v, F.lit("the RIVERS are slow"))) == [pytest.approx(2 / 3)]
+    assert cols(spark, 0.567, "double", text.percent(v)) == [56]
+
+
+@given(st.lists(st.text("ab", max_size=5), min_size=1, max_size=12))
+@settings(max_examples=5, deadline=None)
+def test_line_chunks_against_a_loop(spark, lines):
+    s = "\n".join(lines)
+    want, now, size = [], [], 0
+    for x in lines:
+        now.append(x)
+        size += len(x)
+        if size >= 4:
+            want.append("\n".join(now))
+            now, size = [], 0
+    want += ["\n".join(now)] if now else []
+    assert cols(spark, s, "string", text.line_chunks(F.col("v"), whole=6, least=4)) == [want if len(s) > 6 else [s]]
+
+
+def test_lookup_rules(spark):
+    e = spark.createDataFrame([(1, "A", "Slow rivers of the north", "Meier, A.; Bell, C.", "https://arxiv.org/abs/1234.5678v1", None, None, "", "misc"), (1, "B", "x", None, "https://github.com/a/b", None, None, "", "website"), (1, "C", None, None, None, None, None, "", "misc")], "doc_id long, key string, title string, authors string, url string, doi string, isbn string, raw_text string, entry_type string")
+    h = [("A", "crossref", 1, 200, "Slow river of north", None), ("A", "crossref", 2, 200, "Slow rivers of the north", None), ("A", "openreview", 1, 200, "Archives", None), ("A", "openreview", 2, 200, "Slow rivers north", None), ("A", "open_library", 1, 200, "Slow rivers north", None),
+         ("A", "crossref_doi", 1, 200, "Archives", None), ("A", "dblp", 1, 503, None, None), ("A", "acl", 1, 200, None, None), ("A", "arxiv_version", 1, 200, "Slow rivers north", None), ("A", "web", 1, 200, None, "slow RIVERS run"), ("A", "web", 2, 200, None, "in the north"), ("B", "repository", 1, 404, None, None), ("B", "url", 1, 302, None, None), ("B", "crossref", 1, 200, "x", None)]
+    hits = spark.createDataFrame([(1, k, s, r, c, t, "Novak, J.", None, None, None, None if x is None else x.lower(), 3, None) for k, s, r, c, t, x in h], "doc_id long, key string, source string, hit_rank int, http_status int, title string, authors string, doi string, oa_url string, year int, snippet string, latest_version int, error string")
+    got = {(r["key"], r["source"]): r for r in lookup.score_hits(e, hits).collect()}
+    brief = {k: (r["status"], round(r["confidence"], 2)) for k, r in got.items()}
+    assert brief.pop(("A", "crossref"))[0] == "verified" and got["A", "crossref"]["confidence"] < 1
+    assert brief == {
+        ("A", "openreview"): ("verified", 1.0), ("A", "open_library"): ("verified", 0.85), ("A", "crossref_doi"): ("verified", 0.95), ("A", "dblp"): ("error", 0.0), ("A", "acl"): ("not_found", 0.0), ("A", "arxiv_version"): ("verified", 1.0),
+        ("A", "web"): ("verified", 1.0), ("B", "repository"): ("not_found", 0.0), ("B", "url"): ("verified", 1.0), ("C", "none"): ("error", 0.0),
+    }
+    assert got["A", "arxiv_version"]["version_note"] == "Cited version v1, latest is v3" and got["A", "web"]["web_evidence"] == "slow rivers run"
+    f = {r["key"]: r for r in lookup.full_fusion(lookup.score_hits(e, hits), ["doc_id", "key"]).collect()}
+    assert f["A"]["note"].startswith("Confirmed by") and f["A"]["version_note"] and f["A"]["sources_checked"][-1] == "dblp" and f["C"]["status"] == "error"
+    assert lookup.score_hits(e, hits.limit(0)).count() == 1 and lookup.score_hits(e.limit(0), hits).count() == 0
+
+
+def test_cache_round_trip(spark):
+    e = spark.createDataFrame([(1, "A", "Slow rivers", "Meier, A."), (2, "Z", "Slow  rivers!", "meier, B."), (1, "B", "Other", None), (1, "C", None, None)], "doc_id long, key string, title string, authors string")
+    r = spark.createDataFrame([(1, "A", "verified", "n"), (1, "C", "verified", None)], "doc_id long, key string, status string, note string")
+    kept = lookup.cache_rows(e, r)
+    hit, miss = lookup.cache_probe(e, kept)
+    assert {(x["doc_id"], x["key"], x["note"]) for x in hit.collect()} == {(1, "A", "n [cache]"), (2, "Z", "n [cache]")}
+    assert {x["key"] for x in miss.collect()} == {"B", "C"}
