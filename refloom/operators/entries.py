@@ -13,6 +13,15 @@ PUBLISHER = r"(?i)(?:Verlag|Press|Publishers?|Sons|GmbH|Books?|Springer|Wiley|El
 PROCEEDINGS = r"(?iU)(?:\bIn\s*[\(\[]|Proc\.|Proceedings|Conference|Workshop|Symposium|Tagung|Konferenz|Hrsg\b|eds?\b|editors?\b)"
 VOLUME = r"(?iU)(?:Jg\.|Vol\.|Volume|Band|Heft|Nr\.|Issue|No\.)\s*\d+"
 JOURNAL = r"(?iU)\b(?:Journal|Zeitschrift|Magazin|Review|Transactions|Letters|Bulletin|Annals|Communications|Informatik|Computing)\b"
+#: Fixed: shapes of identifiers, dates, pages, volumes, numbers and names.
+DOI = r"(?iU)(?:doi:\s*|https?://doi\.org/)([^\s,;\]]+)"
+ISBN = r"(?iU)(?:ISBN[:\s-]*)(\d[\d -]{8,16}[\dXx])"
+URLDATE = r"(?iU)(?:Stand:|Abruf:|abgerufen am|accessed|besucht am)[:\s]*([\d./-]+)"
+PAGES = r"(?iU)(?:S\.|pp?\.)\s*(\d+\s*[-–—]{1,2}\s*\d+)"
+VOLUME_OF = r"(?iU)(?:Jg\.|Vol\.|Volume|Band)\s*(\d+)"
+NUMBER_OF = r"(?iU)(?:Nr\.|No\.|Issue|Heft)\s*(\d+)"
+BOOK_IN, BOOK_COLON = r"(?iU)In\s*[\(\[]([^\)\]]+)[\)\]]", r"(?iU)In:\s*([^,\.]{5,80})"
+JOURNAL_OF = r"(?iuU)\.\s+([A-ZÄÖÜ][^,\.]+?),\s*(?:Jg|Vol|Nr|Band|No)"
 #: Fixed: where a title can end.
 TITLE_STOPS = (
     r"(?iU)\.\s+In\s+[\(\[]", r"(?iU)\.\s+In:\s+", r"(?iU),\s+(?:Jg\.|Vol\.|Nr\.|Band|No\.)", r"(?iU)\.\s+(?:19|20)\d{2}[,\.]",
@@ -44,11 +53,11 @@ def parse_entries(entries: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Adds the fields of each entry. A web address makes an entry a website, which has neither authors nor year."""
     r = F.coalesce(F.col(raw), F.lit(""))
     e = entries.select("doc_id", "ord", "key", raw)
-    e = e.withColumn("doi", F.rtrim(first_match(r, r"(?iU)(?:doi:\s*|https?://doi\.org/)([^\s,;\]]+)"), F.lit(".")))
-    e = e.withColumn("isbn", F.regexp_replace(first_match(r, r"(?iU)(?:ISBN[:\s-]*)(\d[\d -]{8,16}[\dXx])"), r"[\s-]", ""))
+    e = e.withColumn("doi", F.rtrim(first_match(r, DOI), F.lit(".")))
+    e = e.withColumn("isbn", F.regexp_replace(first_match(r, ISBN), r"[\s-]", ""))
     e = e.withColumn("_u", first_match(r, r"(?U)(https?://\S+|www\.\S+)")).withColumn("_web", F.col("_u").isNotNull())
     web = F.col("_web")
-    e = e.withColumn("url", F.rtrim(F.col("_u"), F.lit(".,;)"))).withColumn("urldate", F.when(web, first_match(r, r"(?iU)(?:Stand:|Abruf:|abgerufen am|accessed|besucht am)[:\s]*([\d./-]+)")))
+    e = e.withColumn("url", F.rtrim(F.col("_u"), F.lit(".,;)"))).withColumn("urldate", F.when(web, first_match(r, URLDATE)))
     e = e.withColumn("entry_type", F.when(web, "website").when(r.rlike(VOLUME) | r.rlike(JOURNAL), "article").when(r.rlike(PROCEEDINGS), "proceedings").when(r.rlike(PUBLISHER), "book").otherwise("unknown"))
     # authors end at the first colon; the strict list may be up to 180 characters long, any other head 119
     head = F.substring_index(r, ":", 1)
@@ -60,15 +69,15 @@ def parse_entries(entries: DataFrame, raw: str = "raw_text") -> DataFrame:
     e = e.withColumn("_r", F.when(web, "").when(F.col("authors").isNotNull(), strip(F.substring(r, n + 2, F.length(r)))).otherwise(r))
     rest = F.col("_r")
     e = e.withColumn("year", first_match(rest, r"(?U)\b((?:19|20)\d{2})\b"))
-    e = e.withColumn("pages", F.replace(first_match(rest, r"(?iU)(?:S\.|pp?\.)\s*(\d+\s*[-–—]{1,2}\s*\d+)"), F.lit(" "), F.lit("")))
+    e = e.withColumn("pages", F.replace(first_match(rest, PAGES), F.lit(" "), F.lit("")))
     at, hit = F.regexp_instr(rest, F.lit(PUBLISHER)), F.regexp_extract(rest, PUBLISHER, 0)
     start = F.greatest(F.lit(1), at - 30)
     e = e.withColumn("publisher", F.when(at > 0, F.substring(F.ltrim(strip(F.substring(rest, start, at + F.length(hit) - start)), F.lit(",. ")), 1, 80)))
-    e = e.withColumn("volume", first_match(rest, r"(?iU)(?:Jg\.|Vol\.|Volume|Band)\s*(\d+)")).withColumn("number", first_match(rest, r"(?iU)(?:Nr\.|No\.|Issue|Heft)\s*(\d+)"))
+    e = e.withColumn("volume", first_match(rest, VOLUME_OF)).withColumn("number", first_match(rest, NUMBER_OF))
     web_title = F.nullif(F.rtrim(strip(F.substring(r, F.lit(1), F.instr(r, F.col("_u")) - 1)), F.lit(",.")), F.lit(""))
     e = e.withColumn("title", F.when(web, web_title).when(rest != "", _title(rest, F.col("entry_type"))))
-    book = F.coalesce(first_match(rest, r"(?iU)In\s*[\(\[]([^\)\]]+)[\)\]]"), first_match(rest, r"(?iU)In:\s*([^,\.]{5,80})"))
+    book = F.coalesce(first_match(rest, BOOK_IN), first_match(rest, BOOK_COLON))
     e = e.withColumn("booktitle", F.when(F.col("entry_type") == "proceedings", strip(book)))
-    e = e.withColumn("journal", F.when(F.col("entry_type") == "article", strip(first_match(rest, r"(?iuU)\.\s+([A-ZÄÖÜ][^,\.]+?),\s*(?:Jg|Vol|Nr|Band|No)"))))
+    e = e.withColumn("journal", F.when(F.col("entry_type") == "article", strip(first_match(rest, JOURNAL_OF))))
     e = e.withColumn("needs_ai_parsing", blank(F.col("title")) | (~web & ((F.col("entry_type") == "unknown") | F.col("authors").isNull())))
     return e.drop("_u", "_web", "_r")

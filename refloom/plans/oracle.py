@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from refloom.functions import text as X
 from refloom.operators import sections, validate, verdict
 
@@ -150,6 +152,32 @@ FALLBACK = f"CAST(greatest(100 - {_lost(verdict.FALLBACK)}, 0) AS INT)"
 GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END"
 
 
+BS = chr(92)
+
+
+def parsed() -> str:
+    """Entries of the table parsed from what they print: type, identifiers, authors, year, pages, volume and number."""
+    from refloom.operators import entries as P
+
+    def re2(p: str) -> str:
+        p = p.replace("(?iuU)", "(?i)").replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+        out, inside = "", False
+        for part in re.split(r"(\\.|[\[\]])", p):
+            inside = part == "[" or inside and part != "]"
+            out += (SPACE[1:-1] if inside else SPACE) if part == BS + "s" else part
+        return out
+
+    first = lambda x, p, g=1: f"nullif(regexp_extract({x}, '{re2(p)}', {g}), '')"
+    word = r"[A-ZÄÖÜ][a-zäöüß\-]+"
+    strict = rf"^(?:{word}(?:,{SPACE}*[A-Za-zÄÖÜäöüß\.\-{SPACE[1:-1]}]+)?(?:;{SPACE}*)?)+$"
+    return rf"""WITH {E}, a AS (SELECT entry_id, coalesce(raw_text, '') AS r FROM e), b AS (SELECT *, {first('r', '(https?://' + BS + 'S+|www' + BS + '.' + BS + 'S+)')} AS u, instr(r, ':') - 1 AS n, string_split(r, ':')[1] AS head FROM a),
+ c AS (SELECT *, CASE WHEN u IS NOT NULL THEN 'website' WHEN regexp_matches(r, '{re2(P.VOLUME)}') OR regexp_matches(r, '{re2(P.JOURNAL)}') THEN 'article' WHEN regexp_matches(r, '{re2(P.PROCEEDINGS)}') THEN 'proceedings' WHEN regexp_matches(r, '{re2(P.PUBLISHER)}') THEN 'book' ELSE 'unknown' END AS entry_type,
+ CASE WHEN u IS NULL AND n > 0 AND (n < 180 AND regexp_matches(head, '{strict}') OR n < 120 AND regexp_matches(head, '^{word}')) THEN {strip('head')} END AS authors FROM b),
+ d AS (SELECT *, CASE WHEN u IS NOT NULL THEN '' WHEN authors IS NOT NULL THEN {strip('substr(r, n + 2)')} ELSE r END AS rest FROM c)
+ SELECT entry_id, entry_type, authors, {first('rest', BS + 'b((?:19|20)' + BS + 'd{2})' + BS + 'b')} AS year, replace({first('rest', P.PAGES)}, ' ', '') AS pages, {first('rest', P.VOLUME_OF)} AS volume, {first('rest', P.NUMBER_OF)} AS number,
+ rtrim({first('r', P.DOI)}, '.') AS doi, regexp_replace({first('r', P.ISBN)}, '[-{SPACE[1:-1]}]', '', 'g') AS isbn, rtrim(u, '.,;)') AS url, CASE WHEN u IS NOT NULL THEN {first('r', P.URLDATE)} END AS urldate FROM d"""
+
+
 def lookups() -> str:
     """CTEs that end in ``res``: recorded results of each entry and source, scored by the source's rules."""
     from refloom.operators.lookup import BEST_OF, EXACT, SOURCES
@@ -190,6 +218,12 @@ def sql(this_year: int) -> dict[str, str]:
     hash_ = rf"""substr(sha256({strip(f"regexp_replace(regexp_replace(lower(title), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}_{SPACE[1:-1]}]', '', 'g'), '{SPACE}+', ' ', 'g')")} || '|' || lower({strip("string_split(string_split(coalesce(authors, ''), ';')[1], ',')[1]")})), 1, 24)"""
     listed = lambda c, n: f"coalesce(string_agg(key, ',' ORDER BY key) FILTER (class = '{c}'), '') AS {n}"
     return {
+        "real_entry_fields": parsed(),
+        "embedded_bibliography": rf"""WITH v AS (SELECT doc_id, regexp_extract(text, '(?s)\\begin\{{thebibliography\}}.*?\\end\{{thebibliography\}}') AS env FROM documents), i AS (SELECT doc_id, unnest(string_split(regexp_replace(env, '(?s)\\end\{{thebibliography\}}$', ''), '\bibitem')[2:]) AS p FROM v WHERE env <> ''),
+ k AS (SELECT doc_id, regexp_extract(p, '^\{{(\w+)\}}', 1) AS key, regexp_replace(p, '^\{{\w+\}}', '') AS b FROM i) SELECT doc_id, key, {strip(f"regexp_replace(regexp_replace(regexp_replace(b, '{BS}{BS}[a-zA-Z]+{BS}{{([^}}]*){BS}}}', '{BS}1', 'g'), '[{{}}{BS}{BS}]', '', 'g'), '{SPACE}+', ' ', 'g')")} AS body FROM k WHERE key <> ''""",
+        "text_report_lines": f"""{whole}, d AS (SELECT doc_id, list_filter([{deductions}], lambda r: r.d > 0) AS ds FROM f)
+ SELECT f.doc_id, concat_ws(chr(10), 'Paper ' || f.doc_id, 'Score ' || score || ' ' || grade, CASE WHEN len(ds) > 0 THEN 'Deductions' || chr(10) || array_to_string(list_transform(ds, lambda x: '  -' || lpad(x.d::VARCHAR, 2, ' ') || ' ' || x.category || ' (' || x.n || ')'), chr(10)) END,
+ CASE WHEN n_missing > 0 THEN 'Cited but not listed: ' || n_missing END, CASE WHEN n_orphan > 0 THEN 'Listed but not cited: ' || n_orphan END) AS report FROM f JOIN d ON f.doc_id = d.doc_id""",
         "lookup_results": f"WITH {lookups()} SELECT doc_id, key, source, status, CAST(floor(confidence * 10000 + 0.5) AS BIGINT) AS confidence_e4, matched_title, open_access_url, web_evidence FROM res",
         "lookup_fused": f"""WITH {lookups()}, q AS (SELECT *, {rank} AS o FROM res), z AS (SELECT doc_id, key, arg_min(status, o) AS status, arg_min(confidence, o) AS c0, count(*) AS n_sources, count(*) FILTER (status = 'verified') AS n_verified, string_agg(source, ',' ORDER BY o) AS sources FROM q GROUP BY doc_id, key)
  SELECT doc_id, key, status, CAST(floor((CASE WHEN n_verified >= 2 THEN least(1.0, c0 + 0.05::DOUBLE * (n_verified - 1)) ELSE c0 END) * 10000 + 0.5) AS BIGINT) AS confidence_e4, n_sources, n_verified, sources, CASE WHEN n_verified >= 2 AND status = 'verified' THEN 'Confirmed by ' || n_verified || ' independent sources' END AS note FROM z""",

@@ -79,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flagship_paper_score": lambda s, d: one(verdict.scored(counts(s, d)), "doc_id", "n_missing", "n_orphan", "n_incomplete", "n_duplicates", "n_fake", "n_style", "score", "grade"),
         "bib_entry_split": lambda s, d: one(entries.split_entries(sections_of(s, d)), "doc_id", "ord", "key"),
         "entry_fields": lambda s, d: one(parsed(s, d), "doc_id", "ord", "key", "entry_type", "authors", "title", "year", "pages", "journal", "booktitle", "volume"),
+        "real_entry_fields": lambda s, d: entries.parse_entries(bib(s, d).select("doc_id", F.col("entry_id").alias("ord"), "key", "raw_text")).select(F.col("ord").alias("entry_id"), "entry_type", "authors", "year", "pages", "volume", "number", "doi", "isbn", "url", "urldate"),
         "entry_type_counts": lambda s, d: bib(s, d).groupBy("entry_type").agg(F.count("*").alias("n")),
         "section_split_lengths": lambda s, d: sections_of(s, d).select("doc_id", F.length("body").alias("body_chars"), F.length("bibliography").alias("bib_chars")),
         "citation_keys": lambda s, d: sections.bracket_citations(sections_of(s, d)),
@@ -134,6 +135,7 @@ TRUTH = f"""t AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION
  {NAMES}[l_suppkey % 7 + 1] AS surname, 'Wasser und Boden ' || (l_partkey % 97) AS title, year(l_shipdate) AS y, l_returnflag AS f, l_partkey % 300 + 1 AS lo, l_partkey % 300 + 1 + CAST(trunc(l_quantity) AS INT) * 5 AS hi FROM lineitem),
  k AS (SELECT *, substr(surname, 1, 2) || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS key, CASE f WHEN 'A' THEN 'article' WHEN 'N' THEN 'proceedings' ELSE 'book' END AS kind FROM t)"""
 NORMAL = oracle.normal("title")
+CONTEXT = rf"([^.]{{0,80}}){sections.GROUP}([^.]{{0,80}})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,6 +156,10 @@ def oracle_sql() -> dict[str, str]:
  string_agg('[' || key || '] ' || surname || ', A.: ' || title || CASE kind WHEN 'article' THEN '. Hydrologie, Jg. ' || ord WHEN 'proceedings' THEN '. In: Tagung Berlin' ELSE '. Nordverlag, ' || y || '.' END
  || CASE WHEN kind <> 'book' THEN ', S. ' || lo || CASE WHEN ord % 2 = 0 THEN '-' ELSE '--' END || hi || ', ' || y || '.' ELSE '' END, E'\\n' ORDER BY ord) AS l FROM k GROUP BY doc_id)
  SELECT doc_id, CAST(length(trim('Introduction. ' || coalesce(c, ''))) AS INT) AS body_chars, CAST(length('Literatur' || E'\\n' || l) AS INT) AS bib_chars FROM b""",
+        "citation_contexts_top2": rf"""WITH {TRUTH}, b AS (SELECT doc_id, trim('Introduction. ' || coalesce(string_agg(CASE WHEN ord % 3 <> 0 THEN 'As shown before [' || key || '].' END, ' ' ORDER BY ord), '')) AS body FROM k GROUP BY doc_id),
+ h AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(body, '{CONTEXT}', 0), regexp_extract_all(body, '{CONTEXT}', 2), range(1, 1 + len(regexp_extract_all(body, '{CONTEXT}', 0))))) AS z FROM b),
+ q AS (SELECT doc_id, z[3] AS pos, {oracle.strip('z[1]')} AS snippet, unnest(list_zip(regexp_split_to_array(z[2], ',\s*'), range(1, 1 + len(regexp_split_to_array(z[2], ',\s*'))))) AS y FROM h),
+ r AS (SELECT doc_id, y[1] AS key, CAST(row_number() OVER (PARTITION BY doc_id, y[1] ORDER BY pos, y[2]) AS INT) AS n, snippet FROM q) SELECT doc_id, key, n, snippet FROM r WHERE n <= 2""",
         "verdict_counts_status": f"""WITH {V} SELECT doc_id, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'error') AS n_error FROM v GROUP BY doc_id""",
         "bib_unique": f"WITH {E} SELECT doc_id, key, min(ord) AS ord, arg_max(title, ord) AS title FROM e GROUP BY doc_id, key",
         "cross_check_class": f"WITH {E}, {CROSS} SELECT doc_id, key, class FROM x",
