@@ -10,16 +10,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.similarity import lcs
-from refloom.llm.variants import bound, digraphs, distance, fold, tokens
-from refloom.operators.packed_values import EMPTY, segment
+from refloom.llm.variants import APOSTROPHES, bound, digraphs, distance, fold, tokens
+from refloom.operators.packed_values import PARTICLES
 from refloom.session import cut, width
 
 SAMPLE = 40_000  # labelled pairs the classifier is fitted on; all pairs are scored
-TITLE_MINS, NAME_MINS = 3, 2  # least hashes of title words and of surnames that a record's blocks are made of
+TITLE_MINS, NAME_MINS = 3, 3  # least hashes of title words and of surnames that a record's blocks are made of
 STEM = 4  # letters of a word that enter the blocks, as titles are cut and abbreviated; whole titles are compared
 #: Fixed: words that titles lose or swap freely.
 STOP = frozenset("a an and of the in on for with to from by at und der die das des zur zum von mit fur fuer im auf le la les de des du et pour dans avec un une contre vers da do dos das em um uma com e na nas no nos para и в с на".split())
@@ -72,16 +73,29 @@ def split_title(title: str) -> tuple[tuple[str, ...], str, str]:
     return tuple(w for w in base if w not in STOP) or tuple(base), digraphs("".join(base)), mark
 
 
+QUOTED = re.compile(r'"([^"]+)"|([^"]+)')
+APART = re.compile(r"[;|/·•&\n{}]|\b(?:and|und|et|y|al|u)\b")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(1 << 16)
 def surnames(authors: str | None) -> tuple[str, ...]:
-    """Folded surnames of an author list; of organisations, the last word."""
+    """Folded surnames of an author list; of organisations, the last word.
+
+    Lists need no exact cut here: between sure separators a name with one
+    comma has its surname before it; of several parts between commas each
+    gives its last word, and those that hold initials only give none.
+    """
     out = []
-    for name, _ in segment(authors, EMPTY) if authors else []:
-        f = fold(name)
-        left, comma, _ = f.partition(",")
-        words = [t for t in tokens(left if comma else f) if len(t) > 2]
-        if words:
-            out.append(digraphs(words[-1]))
+    for quoted, plain_ in QUOTED.findall(fold(authors or "")):
+        for piece in [quoted] if quoted else APART.split(plain_):
+            parts = [LETTERS.findall(APOSTROPHES.sub("", x)) for x in piece.split(",")]
+            if len(parts) == 2 and len([w for w in parts[0] if len(w) > 2 and w not in PARTICLES]) == 1:
+                parts = parts[:1]
+            for ws in parts:
+                words = [w for w in ws if len(w) > 2]
+                if words:
+                    out.append(digraphs(words[-1]))
     return tuple(dict.fromkeys(out))
 
 
@@ -115,8 +129,8 @@ def least(words: set[str] | list[str], k: int) -> list[str]:
 def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
     """Blocks of a record.
 
-    * two of the title's least words with one of the two least surnames
-    * the two least surnames with the year
+    * two of the title's least words with one of the least surnames
+    * two of the least surnames with the year
     * all words of the title, and all but one, for each one, so that titles
       with one word wrong on each side meet
     * the whole title on one side, each beginning of it on the other, so that
@@ -137,8 +151,7 @@ def block_keys(title: str, names: str, year: int, wide: bool) -> list[int]:
     order, words, mins, own = ([word_id(w) for w in x] for x in (order, words, mins, own))
     pairs = [(a, b) for i, a in enumerate(mins) for b in mins[i + 1 :]] or [tuple(mins)]
     out = [hash((1, s, *p)) for s in own for p in pairs]
-    if len(own) > 1:
-        out += [hash((2, y, *own)) for y in years]
+    out += [hash((2, y, a, b)) for i, a in enumerate(own) for b in own[i + 1 :] for y in years]
     if len(words) < 3:
         out += [hash((3, y, *words)) for y in years]
         return list(set(out))
@@ -217,14 +230,20 @@ def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float
 COL = {n: i for i, n in enumerate(FEATURES)}
 
 
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), len(FEATURES)).astype(float)
+
+
 def weak_label(f: list[float]) -> int:
     """1, 0, or -1 (no label), from rules that are each right nearly always."""
     g = lambda n: f[COL[n]]
     if g("other_part") or g("swapped") >= 2 or g("missing") > 0.7 or g("other_words") or g("other_authors"):
         return 0
+    if g("swapped") and g("overlap") < 0.75:
+        return 0
     if g("namesake"):
         return 0 if g("conflict") or g("far_year") or not g("no_authors") else -1
-    if g("overlap") >= 0.5 and not g("far_year") and g("missing") <= 0.6:
+    if g("overlap") >= 0.5 and not g("swapped") and not g("far_year") and g("missing") <= 0.6:
         return 1
     if g("overlap") >= 0.5 and g("exact") and not g("short"):
         return 1
@@ -309,26 +328,29 @@ def scored_signatures(entries: DataFrame, cache: DataFrame) -> tuple[DataFrame,
     rs = rs.select(F.col("sig").alias("r"), F.col("title").alias("t2"), F.col("names").alias("n2"), F.col("year").alias("y2"))
     ls = ls.select(F.col("sig").alias("l"), F.col("title").alias("t1"), F.col("names").alias("n1"), F.col("year").alias("y1"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            f = [features(*x) for x in zip(b["t1"], b["n1"], b["y1"], b["t2"], b["n2"], b["y2"], strict=True)]
-            yield pd.DataFrame({"l": b["l"], "r": b["r"], "f": f, "label": [weak_label(x) for x in f]})
+            rows = [features(*x) for x in zip(*[b.column(c).to_pylist() for c in ("t1", "n1", "y1", "t2", "n2", "y2")], strict=True)]
+            data = np.array(rows, np.float16).tobytes()  # two bytes for each feature
+            ends = np.arange(0, len(data) + 1, 2 * len(FEATURES), np.int32)
+            f = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("r"), f, pa.array([weak_label(x) for x in rows], pa.int32())], ["l", "r", "f", "label"])
 
     both = pairs.join(rs.hint("merge"), "r").join(ls.hint("merge"), "l")
-    scored = cut(both.mapInPandas(compare, "l bigint, r bigint, f array<float>, label int"))
-    half = SAMPLE // 2
-    fit = [r for v in (0, 1) for r in scored.where(f"label = {v}").orderBy(F.xxhash64("l", "r")).limit(half).collect()]
+    scored = cut(both.mapInArrow(compare, "l bigint, r bigint, f binary, label int"))
+    # of each label the rows with the least hashes, about half a sample
+    have = {r["label"]: r["n"] for r in scored.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = lambda v: int(min(1.0, SAMPLE / 2 / have[v]) * (1 << 30))
+    fit = [r for v in have for r in scored.where((F.col("label") == v) & (F.pmod(F.xxhash64("l", "r"), F.lit(1 << 30)) <= share(v))).collect()]
     fit.sort(key=lambda r: zlib.crc32(f"{r['l']},{r['r']}".encode()))
-    model = Classifier(np.array([r["f"] for r in fit], float).reshape(len(fit), len(FEATURES)), np.array([r["label"] for r in fit], float))
+    model = Classifier(unpacked([r["f"] for r in fit]), np.array([r["label"] for r in fit], float))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                yield b[["l", "r"]].assign(confidence=model.probability(np.array(b["f"].tolist(), float)))
+            p = model.probability(unpacked(b.column("f").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("r"), pa.array(p)], ["l", "r", "confidence"])
 
-    good = scored.select("l", "r", "f").mapInPandas(judge, "l bigint, r bigint, confidence double")
+    good = scored.select("l", "r", "f").mapInArrow(judge, "l bigint, r bigint, confidence double")
     return good, left.withColumnRenamed("sig", "l"), right.withColumnRenamed("sig", "r")
 
 
