@@ -101,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "issue_counts": lambda s, d: issues(s, d).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
         "title_normalise": lambda s, d: bib(s, d).select("entry_id", X.normal_title(c("title")).alias("normal")),
         "cache_key_hash": lambda s, d: bib(s, d).where("title IS NOT NULL AND title != ''").select("entry_id", X.cache_key(c("title"), c("authors")).alias("hash")),
-        "arxiv_ids": lambda s, d: bib(s, d).select("entry_id", X.arxiv_id(c("url"), c("doi"), c("raw_text"), c("journal")).alias("a")).where("a IS NOT NULL").select("entry_id", "a.id", "a.version"),
+        "arxiv_ids": lambda s, d: synth.preprints(table(s, d, "lineitem")).select("doc_id", "ord", X.arxiv_id(c("url"), c("doi"), c("raw_text"), c("journal")).alias("a")).where("a IS NOT NULL").select("doc_id", "ord", "a.id", "a.version"),
         "author_overlap": lambda s, d: bib(s, d).select("doc_id", "key", "authors").join(ver(s, d).select("doc_id", "key", "verification_id", "correct_authors"), ["doc_id", "key"]).select("doc_id", "key", "verification_id", X.author_overlap(c("authors"), c("correct_authors")).alias("overlap")),
         "duplicate_pairs": lambda s, d: crosscheck.duplicate_pairs(bib(s, d)),
         "duplicate_classes": lambda s, d: crosscheck.duplicate_classes(bib(s, d)),
@@ -141,6 +141,8 @@ CONTEXT = rf"([^.]{{0,80}}){sections.GROUP}([^.]{{0,80}})"
 def oracle_sql() -> dict[str, str]:
     sel = lambda cls: f"WITH {E}, {CROSS} SELECT doc_id, key FROM x WHERE class = '{cls}'"
     return oracle.sql(YEAR) | {
+        "arxiv_ids": """WITH t AS (SELECT l_orderkey AS doc_id, l_partkey AS p, l_suppkey AS q, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ord FROM lineitem)
+ SELECT doc_id, ord, CASE WHEN p % 6 IN (1, 3) THEN 'math/' || lpad(p::VARCHAR, 7, '0') ELSE (p % 9000 + 1000) || '.' || lpad(q::VARCHAR, 5, '0') END AS id, CASE WHEN p % 6 IN (0, 3) THEN 'v' || (ord % 3 + 1) END AS version FROM t WHERE p % 6 <> 5""",
         "bib_entry_split": f"WITH {TRUTH} SELECT doc_id, ord, key FROM k",
         "entry_fields": f"""WITH {TRUTH} SELECT doc_id, ord, key, kind AS entry_type, surname || ', A.' AS authors, title, CAST(y AS VARCHAR) AS year,
  CASE WHEN kind <> 'book' THEN lo || CASE WHEN ord % 2 = 0 THEN '-' ELSE '--' END || hi END AS pages, CASE WHEN kind = 'article' THEN 'Hydrologie' END AS journal,

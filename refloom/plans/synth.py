@@ -35,3 +35,18 @@ def papers(lineitem: DataFrame) -> DataFrame:
     g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e"), cite.alias("c")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["c"]), " ")
     return g.select("doc_id", F.concat(F.lit("Introduction. "), body, F.lit("\nLiteratur\n"), F.array_join(F.transform("l", lambda x: x["e"]), "\n")).alias("text"))
+
+
+def preprints(lineitem: DataFrame) -> DataFrame:
+    """``doc_id, ord, url, doi, raw_text, journal``: order lines as citations of preprints, the identifier in one of five places and shapes or nowhere."""
+    t = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("ord"))
+    s = lambda c: F.col(c).cast("string")
+    new = F.concat((F.col("l_partkey") % 9000 + 1000).cast("string"), F.lit("."), F.lpad(s("l_suppkey"), 5, "0"))
+    old = F.concat(F.lit("math/"), F.lpad(s("l_partkey"), 7, "0"))
+    v = F.concat(F.lit("v"), (F.col("ord") % 3 + 1).cast("string"))
+    shape = (F.col("l_partkey") % 6).cast("int")
+    return t.select(
+        F.col("l_orderkey").alias("doc_id"), "ord", F.when(shape == 0, F.concat(F.lit("https://arxiv.org/abs/"), new, v)).when(shape == 1, F.concat(F.lit("http://arXiv.org/pdf/"), old)).alias("url"),
+        F.when(shape == 2, F.concat(F.lit("10.48550/arXiv."), new)).alias("doi"), F.when(shape == 3, F.concat(F.lit("Meier, A.: Rivers. arXiv:"), old, v, F.lit(", 1999."))).otherwise("Meier, A.: Rivers.").alias("raw_text"),
+        F.when(shape == 4, F.concat(F.lit("ARXIV:"), new)).alias("journal"),
+    )
