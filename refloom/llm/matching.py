@@ -176,6 +176,24 @@ def same_word(a: str, b: str) -> bool:
     return bool(n) and alike(a, b, n)
 
 
+@lru_cache(1 << 17)
+def mask(word: str) -> int:
+    """The letters of a word as bits."""
+    m = 0
+    for c in word:
+        m |= 1 << (ord(c) & 63)
+    return m
+
+
+def partner(word: str, others: list[str]) -> str | None:
+    """The first of some words that is the same word; those whose letters differ by more than four, and that begin unlike, are not looked at."""
+    m = mask(word)
+    for x in others:
+        if ((m ^ mask(x)).bit_count() <= 4 or x.startswith(word) or word.startswith(x)) and same_word(word, x):
+            return x
+    return None
+
+
 FEATURES = ("bias", "exact", "swapped", "missing", "sequel", "overlap", "no_authors", "conflict", "same_year", "near_year", "far_year", "no_year", "short", "short_no_authors", "missing_far", "short_conflict", "long_exact", "other_part", "other_words", "other_authors", "namesake")
 
 
@@ -197,7 +215,7 @@ def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float
                 rest.append(w)
         lost = 0
         for w in rest:
-            hit = next((x for x in left if same_word(w, x)), None)
+            hit = partner(w, left)
             if hit is None:
                 lost += 1
             else:
@@ -207,7 +225,7 @@ def features(t1: str, n1: str, y1: int, t2: str, n2: str, y2: int) -> list[float
     u, v = n1.split(), n2.split()
     small, big = (u, v) if len(u) <= len(v) else (v, u)
     own = set(big)
-    hits = sum(x in own or any(same_word(x, y) for y in big) for x in small)
+    hits = sum(x in own or partner(x, big) is not None for x in small)
     overlap = hits / len(small) if small else 0.0
     both = bool(u and v)
     dy = abs(y1 - y2) if y1 and y2 else -1
