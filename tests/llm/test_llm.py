@@ -216,6 +216,24 @@ def test_blocks_find_what_all_pairs_hold(spark):
     assert len(true) > 10 and len(met) >= 0.95 * len(true)
 
 
+def test_blocks_of_generic_and_templated_titles_stay_small():
+    """Works that share a title of a few words, or a surname and two common words, do not all meet; the same work does."""
+    rng = random.Random(5)
+    names, things = [f"{a}{b}er" for a in "mei bel kos tar vol nor".split() for b in "dan lin rom sut wek pas".split()], [f"{c}{v}{d}ing" for c in "bdfgklmnprstvz" for v in "aeiou" for d in "lnrt"]
+    title = lambda: rng.choice(["report from the program chairs", f"how {rng.choice(things)} is {rng.choice(things)} {rng.choice(things)} beyond {rng.choice(things)}"])
+    works = [(title(), " ".join(rng.sample(names, 2)), 1980 + rng.randrange(40)) for _ in range(300)]
+    common = frozenset({"how", "beyo"})
+    left, right = [set(matching.block_keys(*w, False, common)) for w in works], [set(matching.block_keys(*w, True, common)) for w in works]
+    met = sum(bool(a & b) for a in left for b in right)
+    assert all(a & b for a, b in zip(left, right, strict=True)) and met < 20 * len(works)
+
+
+def test_generic_titles_without_authors_meet():
+    es, rs = [("report from the program chairs", n, 1999) for n in ("", "meier")], [("report from the program chairs", n, 1999) for n in ("", "meier", "bell")]
+    met = {(e[1], r[1]) for e in es for r in rs if set(matching.block_keys(*e, False)) & set(matching.block_keys(*r, True))}
+    assert met == {("", ""), ("", "meier"), ("", "bell"), ("meier", ""), ("meier", "meier")}
+
+
 def test_no_labels_and_many_labels():
     rng = np.random.default_rng(1)
     none = matching.Classifier(np.zeros((0, len(matching.FEATURES))), np.zeros(0))
