@@ -126,6 +126,19 @@ def test_bounds_lose_no_pair(titles, threshold):
     assert set(similarity.alike_within(own[:half], own[half:], threshold)) == {w for w in want if (w[0] in own[:half]) != (w[1] in own[:half])}
 
 
+def test_few_titles_are_compared_one_by_one(monkeypatch):
+    """Titles of one template have alike letters; nearly all of their pairs are ruled out before the comparison. Long titles are compared too."""
+    rng = random.Random(7)
+    stems = [f"{a}{b}{c}" for a in "ba ko ru te mi so".split() for b in "lar nes tid mon".split() for c in ("ing", "ed", "er")]
+    titles = sorted({" ".join(["how", rng.choice(stems), "is", *rng.sample(stems, 3), "beyond", rng.choice(stems)]) for _ in range(400)})
+    titles += [t.replace("o", "a", 1) for t in titles[:30]] + ["x" * 200 + " y", "x" * 199 + " y", " ".join(stems), " ".join(stems[1:]) + " bolaring"]
+    want = {(x, y, similarity.token_set(x, y)) for x, y in itertools.combinations(sorted(titles), 2) if similarity.token_set(x, y) >= 0.85}
+    calls, real = [], similarity.token_set
+    monkeypatch.setattr(similarity, "token_set", lambda x, y: calls.append(1) or real(x, y))
+    got = list(similarity.alike_within(titles, None, 0.85))
+    assert len(got) == len(want) and set(got) == want and len(calls) <= 2 * len(want) + 20
+
+
 def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
     from refloom.plans import queries
 
