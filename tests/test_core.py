@@ -139,6 +139,28 @@ def test_few_titles_are_compared_one_by_one(monkeypatch):
     assert len(got) == len(want) and set(got) == want and len(calls) <= 2 * len(want) + 20
 
 
+@given(st.lists(st.lists(st.text("abé ", max_size=16), max_size=6), min_size=1, max_size=5), st.sampled_from([0.5, 0.85, 0.97]))
+def test_lists_compared_together_lose_no_pair(lists, threshold):
+    lists = [sorted({" ".join(t.split()) for t in x}) for x in lists]
+    want = {(i, x, y, similarity.token_set(x, y)) for i, own in enumerate(lists) for x, y in itertools.combinations(own, 2) if similarity.token_set(x, y) >= threshold}
+    got = list(similarity.alike_among(lists, threshold))
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_small_papers_are_compared_together(spark, monkeypatch):
+    """Most papers have a few titles; the arrays of a search are made once for hundreds of papers, not for each. Larger papers and long titles are in the same table."""
+    rng = random.Random(5)
+    words = "water soil river model study method basin flow sediment archive".split()
+    titles = {d: sorted({" ".join(rng.sample(words, rng.randint(3, 6))) for _ in range(40 if d % 50 == 0 else 6)} | ({"x" * 200 + " y", "x" * 199 + " y"} if d == 7 else set())) for d in range(500)}
+    want = {(d, a, b) for d, own in titles.items() for a, b in itertools.combinations(own, 2) if similarity.token_set(a, b) >= 0.85}
+    made, real = [], similarity.Titles
+    monkeypatch.setattr(similarity, "Titles", lambda *x: made.append(1) or real(*x))
+    assert {(d, a, b) for d, a, b, _ in similarity.alike_among(list(titles.values()), 0.85)} == want and len(made) == 1
+    monkeypatch.setattr(crosscheck, "FEW", 30)
+    t = spark.createDataFrame([(d, x) for d, own in titles.items() for x in own], "doc_id long, t string")
+    assert sorted((r["doc_id"], r["title_a"], r["title_b"]) for r in crosscheck.title_pairs(t).collect()) == sorted(want)
+
+
 def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
     from refloom.plans import queries
 
