@@ -162,6 +162,20 @@ def test_frequent_misspelling_links_with_full_given_names(spark):
     assert {tuple(x) for x in variants.found(b, v, r).collect()} == {("bib_entries", i, 50) for i in range(8)}
 
 
+def test_signatures_move_no_text_to_drop_records(spark, monkeypatch):
+    """Records delivered again are dropped by id and signature; only the distinct signatures are shuffled with their text."""
+    n = F.col("id") % 20
+    rows = spark.range(0, 40, 1, 8).select((F.col("id") % 30).alias("i"), F.when(n % 10 != 3, F.concat(F.lit("Slow rivers "), n % 10)).alias("t"), F.lit("Meier, A.").alias("a"), F.lit("1999").alias("y"))
+    rows = rows.where("i < 20")
+    plans, real = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    left, distinct = matching.signatures(rows, "i", "t", "a", "y")
+    assert "Exchange" not in plans[0] and len(plans) == 2
+    got = [tuple(r) for r in left.collect()]
+    assert sorted(i for i, _ in got) == [i for i in range(20) if i % 10 != 3]
+    assert {s for _, s in got} == {r["sig"] for r in distinct.collect()} and distinct.count() == 9
+
+
 def test_matching(spark):
     e = [(1, "Robust rivers and slow archives: tracing drift", "Meier, A.; Bell, C.", "1999"), (2, "Robust rivers and slow archives: tracing drift III", "Meier, A.; Bell, C.", "2003"), (3, "Editorial", "Novak, J.", "2001"), (4, None, "X, Y.", "2001"), (5, "", None, None)]
     c = [(10, "Robust rivers & slow archives", "Meier, Anna", "published 1999"), (11, "Editorial", "Duarte, P.", "published 2001"), (12, "editorial", "Novak, Jo", None), (13, None, None, None)]
