@@ -180,6 +180,30 @@ def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
     assert q["fallback_verdict"](spark, str(tmp_path)).first()["verdict"] != "PASS"
 
 
+def audited(spark, path, name):
+    """A query over two small papers, and how often its plan reads the entries."""
+    from refloom.plans import queries
+
+    names, titles = "Meier, A.; Bell, C.", ["Slow rivers of the north", "Slow rivers of the north", "Slow river of the north", "Archives"]
+    rows = [(10 * d + i, d, i, k, "misc", names, t, None, None, None, None, None, "2010", None) for d in (1, 2) for i, (k, t) in enumerate(zip("ABCD", titles, strict=True)) if d == 1 or k == "D"]
+    spark.createDataFrame(rows, "entry_id long, " + BIB).write.parquet(f"{path}/bib_entries.parquet")
+    spark.createDataFrame([(1, "A"), (1, "Z"), (2, "D")], "doc_id long, key string").write.parquet(f"{path}/citations.parquet")
+    v = [(1, 1, "A", "verified", 0.9, titles[0], None, "Novak, J.; Duarte, P."), (2, 1, "B", "verified", 0.9, titles[1], None, names)]
+    spark.createDataFrame(v, "verification_id long, doc_id long, key string, status string, confidence double, matched_title string, doi string, correct_authors string").write.parquet(f"{path}/verifications.parquet")
+    spark.createDataFrame([(1, "As Bell et al. say, e.g. here."), (2, "Plain.")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    df = queries.queries()[name](spark, str(path))
+    return df, sum("entry_id#" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in line)
+
+
+def test_deductions_read_the_entries_once_for_each_part(spark, tmp_path):
+    """The titles of a paper are kept; five more readings of the entries stood in the plan before."""
+    df, reads = audited(spark, tmp_path, "paper_deductions")
+    got = {(r["doc_id"], r["category"]): (r["n"], r["deduction"]) for r in df.collect()}
+    assert got[1, "n_duplicates"] == (3, 10) and got[1, "n_missing"] == (1, 10) and got[1, "n_orphan"] == (3, 15) and got[1, "n_fake"] == (1, 10) and got[1, "n_style"] == (2, 4)
+    assert not any(k in got for k in [(2, "n_duplicates"), (2, "n_missing"), (2, "n_orphan"), (2, "n_fake"), (2, "n_style")])
+    assert reads == 3
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
