@@ -1,6 +1,7 @@
 """Operators of the core on small fixtures."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -204,6 +205,17 @@ def test_deductions_read_the_entries_once_for_each_part(spark, tmp_path):
     assert reads == 3
 
 
+def test_json_reports_read_the_entries_once_for_each_part(spark, tmp_path):
+    df, reads = audited(spark, tmp_path, "report_json")
+    got = {r["doc_id"]: json.loads(r["report"]) for r in df.collect()}
+    # of 100: missing 10, orphans 15, fake 10, duplicates 10, style 4, and what is incomplete
+    left = 100 - 10 - 15 - 10 - 10 - 4 - min(5 * got[1]["summary"]["n_incomplete"], 20)
+    assert sorted(got) == [1, 2] and all(got[d]["doc_id"] == d for d in got) and got[1]["score"]["score"] == left
+    assert [got[1]["summary"][f"n_{c}"] for c in ("missing", "orphan", "ok", "entries", "duplicates", "fake", "real", "style")] == [1, 3, 1, 4, 3, 1, 1, 2]
+    assert {"category": "n_duplicates", "count": 3, "deduction": 10} in got[1]["score"]["deductions"]
+    assert reads == 3
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
