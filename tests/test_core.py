@@ -216,6 +216,15 @@ def test_json_reports_read_the_entries_once_for_each_part(spark, tmp_path):
     assert reads == 3
 
 
+def test_summaries_read_the_entries_once_for_each_part(spark, tmp_path):
+    df, reads = audited(spark, tmp_path, "paper_summary")
+    got = {r["doc_id"]: r.asDict() for r in df.collect()}
+    assert sorted(got) == [1, 2] and df.count() == 2
+    names = ["n_missing", "n_orphan", "n_ok", "n_entries", "n_duplicates", "n_fake", "n_real", "n_style"]
+    assert [[got[d][c] for c in names] for d in (1, 2)] == [[1, 3, 1, 4, 3, 1, 1, 2], [0, 0, 1, 1, 0, 0, 0, 0]]
+    assert reads == 3
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
