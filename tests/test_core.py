@@ -225,6 +225,15 @@ def test_summaries_read_the_entries_once_for_each_part(spark, tmp_path):
     assert reads == 3
 
 
+def test_text_reports_read_the_entries_once_for_each_part(spark, tmp_path):
+    df, reads = audited(spark, tmp_path, "text_report_lines")
+    got = {r["doc_id"]: r["report"].split("\n") for r in df.collect()}
+    assert sorted(got) == [1, 2] and got[1][0] == "Paper 1" and got[1][2] == "Deductions" and got[1][-2:] == ["Cited but not listed: 1", "Listed but not cited: 3"]
+    assert {"  -10 n_missing (1)", "  -15 n_orphan (3)", "  -10 n_fake (1)", "  -10 n_duplicates (3)", "  - 4 n_style (2)"} <= set(got[1])
+    assert not any(line.startswith(("Cited", "Listed")) for line in got[2])
+    assert reads == 3
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
