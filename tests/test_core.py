@@ -234,6 +234,13 @@ def test_text_reports_read_the_entries_once_for_each_part(spark, tmp_path):
     assert reads == 3
 
 
+def test_ranking_reads_the_entries_once_for_each_part(spark, tmp_path):
+    df, reads = audited(spark, tmp_path, "batch_ranking")
+    got = [(r["doc_id"], r["score"]) for r in df.collect()]
+    assert [d for d, _ in got] == [2, 1] and got[0][1] > got[1][1] and got[1][1] <= 100 - 10 - 15 - 10 - 10 - 4
+    assert reads == 3
+
+
 def test_fusion_boost_and_order(spark):
     r = spark.createDataFrame([(1, "A", s, 0.9 - i / 100, None, None, i) for i, s in enumerate(["verified"] * 3 + ["error"])], "doc_id long, key string, status string, confidence double, doi string, correct_authors string, source_ord int")
     got = lookup.fuse(r, ["doc_id", "key"]).first()
