@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,6 +163,38 @@ def test_small_papers_are_compared_together(spark, monkeypatch):
     assert sorted((r["doc_id"], r["title_a"], r["title_b"]) for r in crosscheck.title_pairs(t).collect()) == sorted(want)
 
 
+def test_two_blocks_of_long_titles_are_looked_through_once(monkeypatch):
+    """The word lists of two blocks are made once for both directions, and shared words take no machine word of a pair."""
+    rng = random.Random(11)
+    stems = [f"{a}{b}{c}" for a in "ba ko ru te mi so".split() for b in "lar nes tid mon".split() for c in ("ing", "ed", "er")]
+    titles = sorted({" ".join(rng.sample(stems, 14)) for _ in range(60)})
+    titles += [t.replace("o", "a", 1) for t in titles[:15]] + [t.rsplit(" ", k)[0] for k in (1, 3) for t in titles[:15]] + [f"{t} {stems[0]}" for t in titles[:15]]
+    titles = sorted(set(titles))
+    left, right = titles[::2], titles[1::2]
+    want = {(*sorted((x, y)), similarity.token_set(x, y)) for x in left for y in right if similarity.token_set(x, y) >= 0.85}
+    made, real = [], similarity.Titles.post
+    monkeypatch.setattr(similarity.Titles, "post", lambda t: made.append(1) or real(t))
+    got = list(similarity.alike_within(left, right, 0.85))
+    assert want and len(got) == len(want) and set(got) == want and len(made) == 1
+    # unshared letters fit one word, or take two; the bound is the ratio over all words, or above it
+    a = similarity.Titles([t for t in titles if len(t) < similarity.LETTERS], {})
+    assert a.size.max() > 110 and a.plain.all()
+    p, q = np.triu_indices(len(a.titles), 1)
+    bound = similarity.ratio_bound(a, a, p, q)
+
+    def ratio(s, t):
+        x, y = (" ".join([*sorted(u - v), ""]) for u, v in ((set(s.split()), set(t.split())), (set(t.split()), set(s.split()))))
+        size = sum(len(" ".join(set(u.split()))) for u in (s, t))
+        return 1 - (len(x) + len(y) - 2 * similarity.lcs(x, y)) / size if x and y else 0.0
+
+    assert all(b >= ratio(a.titles[i], a.titles[j]) - 1e-9 for i, j, b in zip(p, q, bound, strict=True))
+    words, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda w: words.append(1) or count(w))
+    one = similarity.Titles([" ".join(stems[:14]), " ".join([*stems[:13], "x"])], {})
+    similarity.ratio_bound(one, one, np.array([0]), np.array([1]))
+    assert len(words) == 1
+
+
 def test_paper_counts_have_fakes_style_and_near_duplicates(spark, tmp_path):
     from refloom.plans import queries
 
